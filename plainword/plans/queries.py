@@ -1,0 +1,4 @@
+"""Registered queries."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
