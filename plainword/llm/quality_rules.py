@@ -83,7 +83,7 @@ def default_rules() -> list[Rule]:
         Rule("capitals", 10 * capitals > 3 * letters),
         Rule("digits", 10 * digits > 2 * F.col("word_chars")),
         Rule("wordless", 10 * alpha < 8 * n),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("repeated_lines", (F.col("n_dup_lines") > 1) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))),
         Rule("few_distinct_words", 10 * F.size(F.array_distinct("__w")) < n),
     ]
 

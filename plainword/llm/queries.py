@@ -80,7 +80,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND NOT 10 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > 3 * length(regexp_replace(t, '[^\p{L}]+', '', 'g'))
   AND NOT 10 * length(regexp_replace(t, '[^0-9]+', '', 'g')) > 2 * word_chars
   AND NOT 10 * len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < 8 * n_words
-  AND NOT 10 * n_dup_lines > 3 * len(l)
+  AND NOT (n_dup_lines > 1 AND 10 * n_dup_lines > 3 * len(l))
   AND NOT 10 * len(list_distinct(w)) < n_words AS kept
 FROM b
 """
