@@ -1,0 +1 @@
+"""Lexical normalisation of short noisy texts on Spark."""
