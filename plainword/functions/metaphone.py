@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LENGTH = 4
 _VOWELS = set("AEIOUY")
@@ -191,7 +192,7 @@ def _s(w: str, i: int, at, vowel, slavo: bool, last: int) -> tuple[str, int]:
     return ("" if french else "S"), 2 if at(i + 1, 1, "S", "Z") else 1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def primary_code(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in words:
         yield s.map(double_metaphone)

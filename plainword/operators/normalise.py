@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import is_normalisable
+from ..session import saved
 from . import candidates, classifier, context, langmodel, ranking
 
 
@@ -56,9 +57,9 @@ def complex_normalise(df: DataFrame, ids: list[str], m: Models) -> DataFrame:
     left = around.filter("off = -1").select(*keys, F.col("other").alias("left"))
     right = around.filter("off = 1").select(*keys, F.col("other").alias("right"))
     each = oov.join(found.select(F.col("query").alias("tok"), "cand"), "tok").join(left, keys, "left").join(right, keys, "left")
-    ranked = langmodel.lm_ranked(each, m.lm, keys)
+    ranked = saved(langmodel.lm_ranked(saved(each, "candidates"), m.lm, keys), "ranked")
     n = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    kept = ranked.join(n, keys).filter(F.expr(f"rank <= __n * {m.percent} div 100")).select(*keys, F.col("tok").alias("query"), "cand")
+    kept = saved(ranked.join(n, keys).filter(F.expr(f"rank <= __n * {m.percent} div 100")).select(*keys, F.col("tok").alias("query"), "cand"), "kept")
     near = context.positive_features(flat, ids, m.dictionary).select(*keys, "gov", "off")
     features = context.with_dependency_score(kept.distinct().join(near, keys).withColumn("dep", F.col("cand")), m.bank)
     votes = ranking.predict_vote(classifier.predict(m.classifier, features, m.use_score), [*keys, "cand"], "pred")

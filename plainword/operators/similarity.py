@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 #: measure: (value of a feature, what a word sums over its features, what a pair sums over shared features, result of the sums a, b and s).
-_P, _Q = F.col, F.col
 MEASURES = {
     "cosine": ("cnt", lambda x: x * x, lambda x, y: x * y, lambda a, b, s: s / F.sqrt(a * b)),
     "dice": ("cnt", lambda x: F.lit(1.0), lambda x, y: F.lit(1.0), lambda a, b, s: 2 * s / (a + b)),
@@ -47,7 +48,7 @@ def valued(counts: DataFrame, value: str) -> DataFrame:
 def similarity(pairs: DataFrame, counts: DataFrame, measure: str = "lin") -> DataFrame:
     """query, cand, score, for pairs (query, cand) that share a feature."""
     value, own, both, combine = MEASURES[measure]
-    v = valued(counts, value)
+    v = saved(valued(saved(counts, "context-counts"), value), "context-values")
     norms = v.groupBy("word").agg(F.sum(own(F.col("x"))).alias("norm"))
     a = pairs.select("query", "cand").distinct().join(v.select(F.col("word").alias("query"), "off", "gram", F.col("x").alias("x")), "query")
     met = a.join(v.select(F.col("word").alias("cand"), "off", "gram", F.col("x").alias("y")), ["cand", "off", "gram"])

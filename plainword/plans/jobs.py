@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import word_tokens
 from ..functions.tweet_tokens import tweet_tokens_lower
 from ..operators import candidates, classifier, clean, context, depbank, langmodel, lexicon, normalise, similarity
+from ..session import saved
 from ..sources import datasets, readers
 from .config import Config
 
@@ -31,14 +32,14 @@ def train_dm_dict(spark: SparkSession, c: Config) -> DataFrame:
 
 def normalisation_pairs(tweets: DataFrame, ids: list[str], dictionary: DataFrame, phonetic: DataFrame | None, c: Config) -> DataFrame:
     """oov, iv, ranked best first. tweets: ids, tokens."""
-    counts = lexicon.word_count(tweets, F.col("tokens"))
+    counts = saved(lexicon.word_count(tweets, F.col("tokens")), "word-counts")
     oov = lexicon.frequent_oov(counts, dictionary, c.nmd_min_freq, c.nmd_min_length)
     freqs = counts.join(dictionary, "word", "left_semi")
     kept = candidates.cut(candidates.confusion_set(oov, dictionary, phonetic, c.lex_dist, c.phon_dist), freqs, c.nmd_cutoff)
-    pairs = kept.select("query", "cand").distinct()
+    pairs = saved(kept.select("query", "cand").distinct(), "pairs")
     universe = pairs.select(F.col("query").alias("word")).union(pairs.select("cand")).distinct()
     counted = context.context_counts(tweets, ids, universe, dictionary, c.nmd_order, c.nmd_window)
-    best = similarity.best_pair(similarity.similarity(pairs, counted, c.nmd_measure))
+    best = saved(similarity.best_pair(similarity.similarity(pairs, counted, c.nmd_measure)), "best-pairs")
     return similarity.ranked_pairs(best, c.nmd_pairs).select(F.col("query").alias("oov"), F.col("cand").alias("iv"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import strings as S
 from ..functions.tweet_tokens import tweet_tokens
 from ..operators import candidates, classifier, clean, context, langmodel, lexicon, normalise, ranking, similarity
+from ..session import saved
 from ..sources import readers
 from . import jobs
 from .config import Config
@@ -59,7 +60,7 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf: str, least: int = KNOWN) -> DataFrame:
-    return lexicon.dictionary(_counts(spark, sf).filter(F.col("freq") >= least))
+    return saved(lexicon.dictionary(_counts(spark, sf).filter(F.col("freq") >= least)), "dictionary")
 
 
 _TOK = r"list_filter(list_transform(string_split(lower(coalesce(text, '')), ' '), lambda x: regexp_extract(x, '^[a-z][a-z\-'']*')), lambda x: x <> '')"
@@ -110,31 +111,31 @@ def squeeze_whitespace(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(S.squeeze_whitespace(F.col("text")).cast("binary")).alias("h"))
 
 
-_PART = "p AS (SELECT DISTINCT string_split(lower(p_name), ' ')[1] AS w FROM part), q AS (SELECT a.w AS a, b.w AS b FROM p a, p b WHERE a.w < b.w AND substr(a.w, 1, 1) = substr(b.w, 1, 1))"
+_WORD_PAIRS = "p AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE regexp_matches(w, '^[a-z]{3,9}$')), q AS (SELECT a.w AS a, b.w AS b FROM p a, p b WHERE a.w < b.w AND substr(a.w, 1, 3) = substr(b.w, 1, 3))"
 
 
-def _part_pairs(spark, sf) -> DataFrame:
-    """Pairs of different first words of part names that begin with the same letter."""
-    w = table(spark, sf, "part").select(F.get(F.split(F.lower("p_name"), " "), F.lit(0)).alias("w")).distinct().withColumn("k", F.substring("w", 1, 1))
+def _word_pairs(spark, sf) -> DataFrame:
+    """Pairs of different short words of the benchmark that begin with the same three letters."""
+    w = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).filter(F.col("w").rlike("^[a-z]{3,9}$")).distinct().withColumn("k", F.substring("w", 1, 3))
     return w.select(F.col("w").alias("a"), "k").join(w.select(F.col("w").alias("b"), "k"), "k").filter("a < b").select("a", "b")
 
 
-@query(f"""WITH {_PART}, f AS (SELECT w, i, j, substr(w, i, j - i + 1) AS s FROM p, range(1, 30) t(i), range(1, 30) u(j) WHERE i <= j AND j <= length(w))
+@query(f"""WITH {_WORD_PAIRS}, f AS (SELECT w, i, j, substr(w, i, j - i + 1) AS s FROM p, range(1, 30) t(i), range(1, 30) u(j) WHERE i <= j AND j <= length(w))
 SELECT a, b, levenshtein(a, b)::BIGINT AS lev,
   coalesce((SELECT max(i) FROM range(1, 30) t(i) WHERE i <= least(length(a), length(b)) AND substr(a, 1, i) = substr(b, 1, i)), 0)::BIGINT AS prefix,
   coalesce((SELECT max(i) FROM range(1, 30) t(i) WHERE i <= least(length(a), length(b)) AND right(a, i) = right(b, i)), 0)::BIGINT AS suffix FROM q""")
 def string_metrics(spark, sf):
     a, b = F.col("a"), F.col("b")
-    return _part_pairs(spark, sf).select("a", "b", S.levenshtein(a, b).cast("long").alias("lev"), S.common_prefix_length(a, b).cast("long").alias("prefix"), S.common_suffix_length(a, b).cast("long").alias("suffix"))
+    return _word_pairs(spark, sf).select("a", "b", S.levenshtein(a, b).cast("long").alias("lev"), S.common_prefix_length(a, b).cast("long").alias("prefix"), S.common_suffix_length(a, b).cast("long").alias("suffix"))
 
 
-@query(f"""WITH RECURSIVE {_PART}, d(a, b, i, r) AS (
+@query(f"""WITH RECURSIVE {_WORD_PAIRS}, d(a, b, i, r) AS (
   SELECT a, b, 0, list_transform(range(length(b) + 1), lambda x: 0) FROM q
   UNION ALL
   SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j::INTEGER]), lambda acc, x: list_append(acc, CASE WHEN substr(b, x[1], 1) = substr(a, i + 1, 1) THEN r[x[1]] + 1 ELSE greatest(acc[len(acc)], r[x[1] + 1]) END), [0]) FROM d WHERE i < length(a)
 ) SELECT a, b, r[len(r)]::BIGINT AS lcs FROM d WHERE i = length(a)""")
 def lcs_pairs(spark, sf):
-    return _part_pairs(spark, sf).select("a", "b", S.longest_common_subsequence(F.col("a"), F.col("b")).cast("long").alias("lcs"))
+    return _word_pairs(spark, sf).select("a", "b", S.longest_common_subsequence(F.col("a"), F.col("b")).cast("long").alias("lcs"))
 
 
 _SSK = """, pr AS (SELECT DISTINCT query, cand FROM pairs0), ws AS (SELECT query AS w FROM pr UNION SELECT cand FROM pr),
@@ -144,9 +145,9 @@ ssk AS (SELECT query, cand, coalesce(kk.k / sqrt(k1.k * k2.k), 0) AS ssk FROM pr
 """
 
 
-@query(f"WITH {_PART}, pairs0 AS (SELECT a AS query, b AS cand FROM q)" + _SSK + "SELECT query, cand, round(ssk, 6) AS ssk FROM ssk")
+@query(f"WITH {_WORD_PAIRS}, pairs0 AS (SELECT a AS query, b AS cand FROM q)" + _SSK + "SELECT query, cand, round(ssk, 6) AS ssk FROM ssk")
 def ssk_pairs(spark, sf):
-    return similarity.subsequence_kernel(_part_pairs(spark, sf).select(F.col("a").alias("query"), F.col("b").alias("cand"))).withColumn("ssk", F.round("ssk", 6))
+    return similarity.subsequence_kernel(_word_pairs(spark, sf).select(F.col("a").alias("query"), F.col("b").alias("cand"))).withColumn("ssk", F.round("ssk", 6))
 
 
 @query()
@@ -344,11 +345,14 @@ cc AS (SELECT tok AS word, off::INTEGER AS off, gram, count(*) AS cnt FROM (SELE
 
 
 def _pairs(spark, sf) -> DataFrame:
-    return _cut(spark, sf).select("query", "cand").distinct()
+    return saved(_cut(spark, sf).select("query", "cand").distinct(), "pairs")
 
 
 def _context_counts(spark, sf) -> DataFrame:
-    p = _pairs(spark, sf)
+    return _counted(spark, sf, _pairs(spark, sf))
+
+
+def _counted(spark, sf, p: DataFrame) -> DataFrame:
     universe = p.select(F.col("query").alias("word")).union(p.select("cand")).distinct()
     return context.context_counts(documents(spark, sf), ["doc_id"], universe, dictionary(spark, sf, COMMON))
 
@@ -390,7 +394,8 @@ def _register_similarities() -> None:
     for name in similarity.MEASURES:
 
         def run(spark, sf, name=name):
-            scored = similarity.similarity(_pairs(spark, sf), _context_counts(spark, sf), name)
+            pairs = _pairs(spark, sf)
+            scored = similarity.similarity(pairs, _counted(spark, sf, pairs), name)
             return scored.select("query", "cand", (F.round("score", 6) + 0.0).alias("score"))
 
         run.__name__ = f"similarity_{name}"
@@ -402,7 +407,8 @@ _register_similarities()
 
 @query(_similarity_sql("lin") + "SELECT query, (max({'s': round(score, 9), 'c': cand})).c AS cand FROM sim WHERE NOT isnan(score) GROUP BY query")
 def best_pair(spark, sf):
-    scored = similarity.similarity(_pairs(spark, sf), _context_counts(spark, sf), "lin").withColumn("score", F.round("score", 9))
+    pairs = _pairs(spark, sf)
+    scored = similarity.similarity(pairs, _counted(spark, sf, pairs), "lin").withColumn("score", F.round("score", 9))
     return similarity.best_pair(scored).select("query", "cand")
 
 
@@ -604,15 +610,6 @@ def rank_by(spark, sf):
     return ranking.rank_by(_pairs(spark, sf), ["query"], F.levenshtein("query", "cand"), "rank")
 
 
-@query(f"WITH {_PART.replace('SELECT a.w AS a, b.w AS b', 'SELECT a.w AS query, b.w AS cand')}, pairs0 AS (SELECT * FROM q)" + _SSK + """, l AS (SELECT query, cand, ssk, levenshtein(query, cand) AS lev,
-  coalesce((SELECT max(i) FROM range(1, 30) t(i) WHERE i <= least(length(query), length(cand)) AND substr(query, 1, i) = substr(cand, 1, i)), 0) AS pre,
-  coalesce((SELECT max(i) FROM range(1, 30) t(i) WHERE i <= least(length(query), length(cand)) AND right(query, i) = right(cand, i)), 0) AS suf,
-  (SELECT max(len(m)) FROM (SELECT 1) z, LATERAL (SELECT '' AS m) y) AS z FROM ssk) SELECT query, cand, lev::BIGINT AS lev, pre::BIGINT AS prefix, suf::BIGINT AS suffix, round(ssk, 6) AS ssk FROM l""")
-def candidate_measures(spark, sf):
-    a, b = F.col("query"), F.col("cand")
-    return ssk_pairs(spark, sf).select("query", "cand", F.levenshtein(a, b).cast("long").alias("lev"), S.common_prefix_length(a, b).cast("long").alias("prefix"), S.common_suffix_length(a, b).cast("long").alias("suffix"), "ssk")
-
-
 @query()
 def choose_candidate(spark, sf):
     return ranking.choose_candidate(_pairs(spark, sf), ["query"])
@@ -658,14 +655,15 @@ def take_first_n(spark, sf):
 
 def _models(spark, sf) -> normalise.Models:
     d = dictionary(spark, sf, COMMON)
-    lm = langmodel.train(documents(spark, sf))
+    lm = langmodel.Model(*(saved(t, "lm") for t in vars(langmodel.train(documents(spark, sf))).values()))
     c = Config(lksm_num_candidates=3)
     p = context.positive_features(_flat(spark, sf), CONV, d)
     bank = _bank(p)
     known = p.join(d.select(F.col("word").alias("dep")), "dep", "left_semi")
     pairs = candidates.confusion_set(d, d, None, 1).filter("query <> cand")
-    f = context.with_dependency_score(context.training_features(known, context.negative_features(known, pairs)), bank)
-    mapping = jobs.normalisation_pairs(documents(spark, sf), ["doc_id"], d, None, Config(nmd_min_freq=RARE, nmd_pairs=500))
+    f = saved(context.with_dependency_score(context.training_features(known, context.negative_features(known, pairs)), bank), "features")
+    bank = saved(bank, "bank")
+    mapping = saved(jobs.normalisation_pairs(documents(spark, sf), ["doc_id"], d, None, Config(nmd_min_freq=RARE, nmd_pairs=500)), "mapping")
     return normalise.Models(d, None, lm, bank, classifier.train(f, c.lksm_solver), percent=50, mapping=mapping)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -14,3 +17,17 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` to the folder that all executors share (``spark.checkpoint.dir``; a temporary one only where that is unset) and reads it back.
+
+    What several branches of a plan use is made once, and a lost executor costs a reread only."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("plainword.scratch.dir", None)
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="plainword-")
+        spark.conf.set("plainword.scratch.dir", at)
+    path = f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
