@@ -22,6 +22,8 @@ from .common import WORD, count_of, words
 
 #: Labelled rows to learn from, at most: those with the smallest hash of their id.
 TRAIN_ROWS = 20000
+#: Statistics of a document.
+WIDTH = 14
 
 
 def statistics(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -119,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = one.filter(~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(some), "__id")
     got = statistics(known, "__text", "__f").select("__id", "__y", "__f").orderBy("__id").limit(2 * rows).toPandas()
-    x = np.array(got["__f"].tolist(), np.float64).reshape(len(got), -1)
+    x = np.array(got["__f"].tolist(), np.float64).reshape(len(got), WIDTH)
     return Boosted.fit(x, got["__y"].to_numpy(np.float64))
 
 
@@ -131,7 +133,7 @@ def with_score(df: DataFrame, model: Boosted, text_col: str, out: str) -> DataFr
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for s in batches:
-            yield pd.Series(m.score(np.array(s.tolist(), np.float64).reshape(len(s), -1)))
+            yield pd.Series(m.score(np.array(s.tolist(), np.float64).reshape(len(s), WIDTH)))
 
     return statistics(df, text_col, "__f").withColumn(out, score("__f")).drop("__f")
 
