@@ -2,7 +2,7 @@
 
 A gear hash rolls over the UTF-8 bytes of a text: h = 2 h + gear[byte], of which the bits looked at depend on the last 16 bytes only. Where they are all
 zero a chunk may end, so cuts follow content, and an insertion moves only the cuts beside it. Chunks have 16 to 512 bytes and mean 48. They meet by a 128-bit digest.
-A digest found in two or more documents is repeated; consecutive repeated chunks of a document join to a span.
+A digest found in two or more documents is repeated; the chunks of a hot digest meet its first document in salted parts. Consecutive repeated chunks of a document join to a span.
 Of each repeated chunk the occurrence in the document with the smallest id stays; others are to drop.
 
 Null and empty texts have no chunks. Rows with the same id count as one document, so repeated rows don't repeat each other;
@@ -19,10 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Bytes that decide a cut; bits of the hash that have to be zero; least and most bytes of a chunk.
 REACH, MASK, LEAST, MOST = 16, np.uint32(0x1F << 11), 16, 512
 #: Words in a span, at least.
 SPAN_WORDS = 12
+#: A digest with more than one in ``HOT`` of all chunks is hot (so fewer than ``HOT`` are); its chunks are joined in ``SALTS`` parts.
+HOT, SALTS = 1000, 64
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -111,8 +115,16 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans that stay where they are (first occurrences) are listed with ``dropped`` false."""
     every = chunks(df, id_col, text_col)
-    shared = every.filter("NOT again").groupBy("d1", "d2").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).filter("first <> last").select("d1", "d2", "first")
-    met = every.join(shared, ["d1", "d2"]).select("uid", "seq", "start", "end", "words", "first", ((F.col("uid") != F.col("first")) | F.col("again")).alias("dropped")).distinct()
+    found = every.groupBy("d1", "d2").agg(F.min("uid").alias("first"), F.max("uid").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = saved(found.filter("first <> last").select("d1", "d2", "first", "n"), "chunks")
+    least = (shared.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = F.broadcast(shared.filter(F.col("n") > least).select("d1", "d2", F.lit(SALTS).alias("parts"))) if least else None
+    if hot is not None:
+        salt = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("uid", "seq"), F.lit(SALTS)).cast("int"))
+        every = every.join(hot, ["d1", "d2"], "left").withColumn("salt", salt).drop("parts")
+        parts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        shared = shared.withColumn("salt", F.explode(parts))
+    met = every.join(shared, ["d1", "d2", "salt"] if hot is not None else ["d1", "d2"]).select("uid", "seq", "start", "end", "words", "first", ((F.col("uid") != F.col("first")) | F.col("again")).alias("dropped")).distinct()
     run = Window.partitionBy("uid", "dropped").orderBy("seq")
     grouped = met.withColumn("__run", F.col("seq") - F.row_number().over(run))
     spans = grouped.groupBy("uid", "dropped", "__run").agg(
