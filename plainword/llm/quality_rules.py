@@ -88,10 +88,12 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def estimate(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Estimate]:
-    """Each rule's rejections and seconds on a seeded sample of about ``sample_rows`` measured rows, kept in memory meanwhile."""
-    total = measured.select("doc_id").count()
-    sample = measured.sample(fraction=min(1.0, sample_rows / max(total, 1)), seed=seed).limit(2 * sample_rows).persist()
+def estimate(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Estimate]:
+    """Each rule's rejections and seconds on a seeded sample of about ``sample_rows`` rows. Rows are sampled before they are measured,
+    so this pass costs a scan; the measured sample is kept in memory meanwhile."""
+    narrow = df.select(id_col, text_col)
+    drawn = narrow.sample(fraction=min(1.0, sample_rows / max(narrow.count(), 1)), seed=seed).limit(2 * sample_rows)
+    sample = measure(drawn, id_col, text_col).persist()
     try:
         n = max(sample.count(), 1)
 
@@ -125,9 +127,8 @@ def cascade(rules: list[Rule]) -> Column:
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     rules = default_rules() if rules is None else rules
-    measured = measure(df, id_col, text_col)
-    best = ordered(estimate(measured, rules, sample_rows))
-    return measured.withColumn("base_failed", base_failed()).select(
+    best = ordered(estimate(df, rules, id_col, text_col, sample_rows))
+    return measure(df, id_col, text_col).withColumn("base_failed", base_failed()).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(best).isNull()).alias("kept"),
     )
