@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plainword.llm import decontam, mixing, quality_model, shard_minimax, simhash_vp
+from plainword.llm import decontam, mixing, quality_model, shard_minimax, shingle_join
 from plainword.llm.common import load, shared_dir
 
 
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return simhash_vp.keep_one(docs)
+    """One document of each group of near-duplicates (similarity of five-word shingles at least 0.8) stays: the one with the smallest id."""
+    return shingle_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plainword.llm import cdc_dedup, chat_format, decontam, mixing, quality_model, quality_rules, secret_scan, shard_minimax, simhash_vp, url_graph
+from plainword.llm import cdc_dedup, chat_format, decontam, mixing, quality_model, quality_rules, secret_scan, shard_minimax, shingle_join, simhash_vp, url_graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size string"
 
@@ -185,3 +185,41 @@ def test_secret_spans():
     hot = {i for i in range(len(s) - 19) if entropy(s[i : i + 20]) >= 3.5 - 1e-9}
     want = {p for i in hot for p in range(i, i + 20)}
     assert {p for a, b in secret_scan.hot_spans(s, 3.5) for p in range(a, b)} == want
+
+
+def test_near_duplicate_stage_equals_brute_force_jaccard(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [list(rng.choice(vocabulary, int(rng.integers(3, 160)))) for _ in range(60)]
+    common = list(rng.choice(vocabulary, 40))
+    texts = [" ".join(b) for b in base] + [" ".join([*b[: len(b) // 3], *common]) for b in base[:20]]
+    for b in base[:40]:
+        for _ in range(4):  # copies at 0 to 9% of words replaced are on both sides of the bound
+            c = [x if rng.random() > rng.choice([0, 0.01, 0.02, 0.04, 0.09]) else "new" for x in b]
+            texts.append(" ".join(c).upper() if rng.random() < 0.2 else " ".join(c))
+    texts += ["", None]
+
+    def jaccard_set(t):
+        w = (t or "").lower().split()
+        return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [jaccard_set(t) for t in texts]
+    near = np.array([[a == b or 5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    lab = np.arange(len(sets))
+    while not np.array_equal(nxt := np.where(near, lab[None, :], len(sets)).min(1), lab):
+        lab = nxt
+    df = docs(spark, *texts)
+    want = sorted({*lab.tolist()})
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == want
+    assert len(want) < simhash_vp.keep_one(df).count()
+
+
+def test_near_duplicates_keep_a_row_of_each_component(spark, odd):
+    got = shingle_join.keep_one(odd)
+    assert got.columns == odd.columns and sorted((r.doc_id, (r.text or "").strip()) for r in got.collect()) == [(0, ""), (3, "same text of five words"), (4, ("word " * 5000).strip()), (5, ("ünï " * 60).strip())]
+    a, b = "one two three four five six", "other words of quite another text"
+    same_id = spark.createDataFrame([(1, a), (1, b), (2, a), (None, "no id at all here"), (None, "no id at all here")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in shingle_join.keep_one(same_id).collect()) == [(0, "no id at all here"), (1, a), (1, b)]
+    assert shingle_join.keep_one(odd.limit(0)).count() == 0
