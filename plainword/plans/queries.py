@@ -656,15 +656,16 @@ def take_first_n(spark, sf):
 def _models(spark, sf) -> normalise.Models:
     d = dictionary(spark, sf, COMMON)
     lm = langmodel.Model(*(saved(t, "lm") for t in vars(langmodel.train(documents(spark, sf))).values()))
-    c = Config(lksm_num_candidates=3)
+    c = Config(lksm_num_candidates=3, nmd_min_freq=RARE)
+    phonetic = saved(candidates.phonetic_dictionary(d), "phonetic")
     p = context.positive_features(_flat(spark, sf), CONV, d)
     bank = _bank(p)
     known = p.join(d.select(F.col("word").alias("dep")), "dep", "left_semi")
-    pairs = candidates.confusion_set(d, d, None, 1).filter("query <> cand")
+    pairs = candidates.confusion_set(d, d, phonetic, c.lex_dist, c.phon_dist).filter("query <> cand").select("query", "cand").distinct()
     f = saved(context.with_dependency_score(context.training_features(known, context.negative_features(known, pairs)), bank), "features")
     bank = saved(bank, "bank")
-    mapping = saved(jobs.normalisation_pairs(documents(spark, sf), ["doc_id"], d, None, Config(nmd_min_freq=RARE, nmd_pairs=500)), "mapping")
-    return normalise.Models(d, None, lm, bank, classifier.train(f, c.lksm_solver), percent=50, mapping=mapping)
+    mapping = saved(jobs.normalisation_pairs(documents(spark, sf), ["doc_id"], d, phonetic, c), "mapping")
+    return normalise.Models(d, phonetic, lm, bank, classifier.train(f, c.lksm_solver), percent=50, mapping=mapping)
 
 
 @query()

@@ -86,3 +86,25 @@ def test_dependencies(spark, tmp_path):
     got = depbank.untyped_dependencies(s, words(spark, "hello"))
     assert [(r.gov, r.off) for r in got.collect()] == [("hello", -1)]
     assert depbank.dependency_frequency(got).first().score == 1.0
+
+
+def test_models_of_the_queries_take_all_pairs_and_sounds(spark, tmp_path, monkeypatch):
+    from plainword.plans import queries
+    from plainword.plans.config import Config
+
+    said = ["night falls on beans hills", "knight falls on bears here", "beats fall on night here"] * 40
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(said)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(said)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen = {}
+
+    def pairs(tweets, ids, dictionary, phonetic, c):
+        seen["phonetic"], seen["config"] = phonetic, c
+        return spark.createDataFrame([], "oov string, iv string")
+
+    monkeypatch.setattr(queries.jobs, "normalisation_pairs", pairs)
+    monkeypatch.setattr(queries.classifier, "train", lambda features, solver: seen.update(negatives={r.dep for r in features.filter("NOT label").collect()}))
+    m = queries._models(spark, str(tmp_path))
+    assert seen["config"].nmd_pairs == Config().nmd_pairs == 40000 and seen["config"].lex_dist == 2
+    for phonetic in (m.phonetic, seen["phonetic"]):
+        assert ["knight", "night"] in [r.words for r in phonetic.collect()]
+    assert "hills" in seen["negatives"]  # only "falls" is near, two edits apart
