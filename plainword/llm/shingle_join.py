@@ -4,7 +4,8 @@
 2. Two sets of similarity 4/5 have a shingle in common among the first n - ceil(4n/5) + 1 of each, in any order of shingles that is the same for all
    (prefix filter; Chaudhuri et al., 2006). The order is by frequency in a sample, rare ones first, so few sets meet; the sample only shapes the order.
 3. Each set is compared with two others of each prefix shingle it has, and these links are joined into components. After that, all pairs with a
-   common prefix shingle that are not in one component yet are compared. So a large group of copies costs about its size, not its square.
+   common prefix shingle that are not in one component yet are compared. That spares most pairs of a
+   group of copies, but not those whose likeness to the two others is under the bound: there the work can still grow with the square of the group.
    Before texts are fetched for a pair, the sizes and a parity bitmap of the sets rule out most that can't be similar.
 4. Components of the links; the smallest id in a component names it.
 
