@@ -223,33 +223,3 @@ def test_near_duplicates_keep_a_row_of_each_component(spark, odd):
     same_id = spark.createDataFrame([(1, a), (1, b), (2, a), (None, "no id at all here"), (None, "no id at all here")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in shingle_join.keep_one(same_id).collect()) == [(0, "no id at all here"), (1, a), (1, b)]
     assert shingle_join.keep_one(odd.limit(0)).count() == 0
-
-
-def test_leaks_equal_brute_force_lcs(spark):
-    rng = np.random.default_rng(9)
-    vocabulary = np.array([f"w{i}" for i in range(20000)])
-    chance = 1 / np.arange(3, len(vocabulary) + 3)
-    w = lambda n: rng.choice(vocabulary, n, p=chance / chance.sum()).tolist()
-    items = [w(int(rng.integers(10, 70))) for _ in range(2000)]
-    texts = []
-    for k in range(300):
-        held = [x if rng.random() < (0.6, 0.65, 0.7, 0.8)[k % 4] else y for x, y in zip(items[k], w(len(items[k])))]
-        texts.append(w(int(rng.integers(1, 90))) + held + w(int(rng.integers(1, 90))))
-    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
-    (r,) = decontam.retrievers(docs(spark, *(" ".join(t) for t in texts)), bench)
-
-    def leak(item, text):
-        region = min(decontam.LENGTHS, key=lambda m: abs(m - len(item)))
-        region += 2 * (max(len(item) - region, 0) + 2 * decontam.BLOCK)
-        tail = item[-min(decontam.ANSWER_WORDS, max(1, len(item) // 3)) :]
-        for i in range(max(1, len(text) - region + 1)):
-            share, answer = (decontam.lcs_length(x, text[i : i + region]) / len(x) for x in (item, tail))
-            if share >= decontam.SURE or share >= decontam.LCS and answer >= decontam.ANSWER:
-                return True
-        return False
-
-    number = {k: n for n, (k, _) in enumerate(r.items)}
-    found = [{number[x[0]] for x in some} for some in r.find([" ".join(t) for t in texts])]
-    want = {k for k in range(300) if leak(items[k], texts[k])}
-    assert len(want) > 200 and {k for k in range(300) if number[k] in found[k]} == want
-    assert all(leak(r.items[n][1], texts[k]) for k, some in enumerate(found) for n in some)
