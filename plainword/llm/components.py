@@ -23,11 +23,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(u, v): each node of a component except its least, with the least. edges: (u, v) of one ordered type, no nulls; loops and repeats are ignored.
 
-    Each round is written to the shared folder; it ends when a round changes nothing (count and sum of hashes)."""
+    Each round is written to the shared folder; it ends when a round changes nothing (count and two sums of hashes)."""
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     now, mark = saved(now, "edges"), None
     for _ in range(limit):
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first()
+        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         if found[0] == 0 or tuple(found) == mark:
             return now
         mark = tuple(found)

@@ -1,17 +1,20 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: all pairs that share at least four fifths of their distinct five-word shingles.
+"""SimHash near-dedup for a stated similarity: all pairs that share at least four fifths of their distinct five-word shingles, exactly.
+
+64-bit fingerprints of such pairs differ in about 10 bits, up to 19, and at that radius a vantage-point tree rules out next to nothing. So the tree of ``simhash_vp``
+finds the close pairs (``BITS``), which joins most copies, and what it can't reach is found by an exact prefix filter:
 
 1. ``prints``: a text's set is its distinct shingles (XXH64; a shorter text is one shingle). Texts with equal sets are one node, named by the XXH64 of the set.
 2. Two sets of similarity 4/5 have a shingle in common among the first n - ceil(4n/5) + 1 of each, in any order of shingles that is the same for all
    (prefix filter; Chaudhuri et al., 2006). The order is by frequency in a sample, rare ones first, so few sets meet; the sample only shapes the order.
-3. Each set is compared with two others of each prefix shingle it has, and these links are joined into components. After that, all pairs with a
-   common prefix shingle that are not in one component yet are compared. That spares most pairs of a
-   group of copies, but not those whose likeness to the two others is under the bound: there the work can still grow with the square of the group.
-   Before texts are fetched for a pair, the sizes and a parity bitmap of the sets rule out most that can't be similar.
+3. Pairs from the tree, and each set with one other of each of its prefix shingles, are compared; links join into components. Where a prefix
+   shingle still belongs to several components, its sets are compared with ``STARS`` others. After that all pairs with a common prefix shingle that
+   are not in one component yet are compared, unless the places of the shingle, the sizes, or a parity bitmap of the sets rule them out. So
+   a group of copies costs a few pairs for each member; only sets that share rare shingles, and are not linked by any other, meet pair by pair.
 4. Components of the links; the smallest id in a component names it.
 
-No link is lost: every bound is exact, in whole numbers. Sets that share a prefix shingle but are not linked at all are compared pair by pair.
+No link is lost: every bound is exact, in whole numbers.
 Null and empty texts have the same, empty set. Rows with equal ids are rows of their own. Null ids take part, but name a component only if it has no other id.
-Only the id and text columns are read, so other names can't clash.
+Rows travel as one struct, so names of other columns can't clash.
 """
 
 from __future__ import annotations
@@ -19,22 +22,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import saved
 from .components import components
+from .simhash_vp import BITS, close_links, simhash
 
 WIDTH = 5
 #: Least similarity as a fraction.
 SHARE, OF = 4, 5
 #: Documents of the sample at least, its least share of all, and shingles whose frequency is kept.
 SAMPLE, PART, HOT = 4096, 1 / 16, 1 << 17
-#: Bits of a set's parity, and nodes whose list may be broadcast.
-BITS, FEW = 1024, 1 << 18
+#: Longs of a set's parity, nodes whose list may be broadcast, and sets that each is compared with where components share a shingle.
+LONGS, FEW, STARS = 16, 1 << 18, 6
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -62,9 +66,10 @@ def prefix(s: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, freq))[: len(s) - -(-SHARE * len(s) // OF) + 1]]
 
 
-def parity(s: np.ndarray) -> bytes:
-    """Whether each of ``BITS`` buckets has an odd number of shingles: two sets differ in at least as many shingles as these differ in bits."""
-    return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether each of 64 ``LONGS`` buckets has an odd number of shingles: two sets differ in at least as many shingles as these differ in bits."""
+    odd = np.bincount((s % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -100,24 +105,24 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hot[order], got.n.to_numpy(np.int64)[order]
 
 
-def prints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, n (shingles), bits (its parity), keys (the prefix, 8 bytes each), text."""
-    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = narrow.sparkSession.sparkContext.broadcast(frequent(narrow.select("text")))
+def prints(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """row (all columns of ``df``), node, n (shingles), fp (SimHash of the set), keys (the prefix, 8 bytes each), x0, x1, ... (parity)."""
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(frequent(whole.select("text")))
+    names = ["row", "node", "n", "fp", "keys", *(f"x{i}" for i in range(LONGS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = shared.value
         for b in batches:
-            node, n, bits, keys = [], [], [], []
-            for t in b.column(1):
-                s = shingles(t.as_py())
-                node.append(node_of(s))
-                n.append(len(s))
-                bits.append(parity(s))
-                keys.append(prefix(s, hot, counts).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary()), b.column(1)], names=["doc_id", "node", "n", "bits", "keys", "text"])
+            sets = [shingles(t.as_py()) for t in b.column(1)]
+            bits = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, LONGS), np.int64)
+            numbers = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array([prefix(s, hot, counts).tobytes() for s in sets], pa.binary()), *(pa.array(bits[:, i].copy()) for i in range(LONGS))], names=names)
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, node long, n int, bits binary, keys binary, text string")
+    more = StructType().add("node", "long").add("n", "integer").add("fp", "long").add("keys", "binary")
+    for i in range(LONGS):
+        more = more.add(f"x{i}", "long")
+    return whole.mapInArrow(run, StructType([whole.schema["row"], *more.fields]))
 
 
 def _prefix_rows(nodes: DataFrame) -> DataFrame:
@@ -136,21 +141,20 @@ def _prefix_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "keys").mapInArrow(run, "key long, node long, n int, pos int")
 
 
-def _links(tried: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v) of the pairs (a, b) that are similar. nodes: node, n, bits; texts: node, text. Texts are fetched for pairs whose sizes and parities allow it."""
+def _may(a: str, b: str) -> Column:
+    """Whether the sizes and parities of two nodes (columns named with these endings) allow the similarity."""
+    n, m = F.col("n" + a), F.col("n" + b)
+    differ = sum((F.bit_count(F.col(f"x{i}{a}").bitwiseXOR(F.col(f"x{i}{b}"))) for i in range(LONGS)), F.lit(0))
+    return (OF * F.least(n, m) >= SHARE * F.greatest(n, m)) & ((OF + SHARE) * differ <= (OF - SHARE) * (n + m))
 
-    def can(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, m = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 4))
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (3, 5))
-            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            ok = (OF * np.minimum(n, m) >= SHARE * np.maximum(n, m)) & ((OF + SHARE) * differ <= (OF - SHARE) * (n + m))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-    side = lambda to, n, bits: nodes.select(F.col("node").alias(to), F.col("n").alias(n), F.col("bits").alias(bits))
-    told = tried.join(side("a", "na", "xa"), "a").join(side("b", "nb", "xb"), "b").select("a", "b", "na", "xa", "nb", "xb")
-    pairs = saved(told.mapInArrow(can, "a long, b long"), "shingle-near")
-    asked = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "shingle-asked")
+
+def _sided(df: DataFrame, end: str, *kept: str) -> DataFrame:
+    return df.select(*kept, *(F.col(c).alias(c + end) for c in df.columns if c not in kept))
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) of the pairs (nodea, nodeb) that are similar. texts: node, text; they are fetched for the nodes of the pairs."""
+    asked = saved(pairs.select(F.col("nodea").alias("node")).union(pairs.select("nodeb")).distinct(), "shingle-asked")
     if asked.count() <= FEW:
         asked = F.broadcast(asked)  # at most FEW numbers; else texts are dealt out
 
@@ -164,57 +168,71 @@ def _links(tried: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     own = saved(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, s binary"), "shingle-sets")
-    met = pairs.join(own.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return saved(met.select("a", "b", "x", "y").mapInArrow(compare, "u long, v long"), "shingle-links")
+    met = pairs.join(_sided(own, "a"), "nodea").join(_sided(own, "b"), "nodeb")
+    return saved(met.select("nodea", "nodeb", "sa", "sb").mapInArrow(compare, "u long, v long"), "shingle-links")
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("nodea"), F.greatest(a, b).alias("nodeb"))
 
 
-def similar_links(found: DataFrame) -> DataFrame:
+def _allowed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The distinct pairs whose sizes and parities allow the similarity. sizes: node, n, x0, ..."""
+    told = pairs.distinct().join(_sided(sizes, "a"), "nodea").join(_sided(sizes, "b"), "nodeb")
+    return saved(told.filter(_may("a", "b")).select("nodea", "nodeb"), "shingle-pairs")
+
+
+def similar_links(found: DataFrame, text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(u, v) edges that connect what pairs of similar nodes connect. found: as ``prints`` gives."""
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = saved(found.select("node", "n", "bits", "keys").dropDuplicates(["node"]), "shingle-distinct")
+    nodes = saved(found.drop("row").dropDuplicates(["node"]), "shingle-distinct")
+    sizes, texts = nodes.drop("keys", "fp"), found.select("node", found["row"][text_col].alias("text"))
+    # The tree's pairs: fingerprints by one node each, and the other nodes with the same fingerprint.
+    heads = saved(nodes.groupBy("fp").agg(F.min("node").alias("head")), "shingle-fps")
+    close = close_links(heads.select("fp"), bits).join(_sided(heads.withColumnRenamed("fp", "u"), "a", "u"), "u").join(_sided(heads.withColumnRenamed("fp", "v"), "b", "v"), "v")
+    near = _pairs(close, "heada", "headb").union(_pairs(nodes.join(heads, "fp"), "node", "head"))
     rows = _prefix_rows(nodes).repartition(parts, "key")
     ends = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    shared = saved(rows.join(ends.hint("shuffle_hash"), "key"), "shingle-keys")
-    texts = found.select("node", "text")
-    tried = saved(_pairs(shared, "node", "lo").union(_pairs(shared, "node", "hi")).distinct(), "shingle-pairs")
-    links = _links(tried, nodes, texts)
-    roots = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = saved(shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "shingle-roots")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = saved(rooted.join(mixed, "key", "left_semi"), "shingle-rest")
-    x, y = (rest.select("key", *(F.col(c).alias(c + side) for c in ("node", "n", "pos", "root"))) for side in "ab")
+    shared = saved(rows.join(ends.hint("shuffle_hash"), "key").drop("hi"), "shingle-keys")
+    tried = _allowed(near.union(_pairs(shared, "node", "lo")), sizes)
+    links = _links(tried, texts)
+
+    def mixed(links: DataFrame) -> DataFrame:
+        """Prefix places with the root of their node, where a shingle has several roots."""
+        roots = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        rooted = shared.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        return saved(rooted.join(several, "key", "left_semi"), "shingle-mixed")
+
+    rest = mixed(links)
+    order = [F.xxhash64("node", F.lit(k)) for k in range(STARS)]
+    stars = rest.groupBy("key").agg(*(F.min_by(c, order[k]).alias(f"{c}{k}") for k in range(STARS) for c in ("node", "root")))
+    star = rest.join(stars, "key").select("node", F.explode(F.array(*(F.when(F.col("root") != F.col(f"root{k}"), F.col(f"node{k}")) for k in range(STARS)))).alias("star"))
+    more = _allowed(_pairs(star, "node", "star").distinct().join(tried, ["nodea", "nodeb"], "left_anti"), sizes)
+    links, tried = links.union(_links(more, texts)), tried.union(more)
+    rest = mixed(links).join(sizes.drop("n"), "node")
     # At the first shingle that two sets share, what they can share at most is known from its places.
     n, most = F.col("na") + F.col("nb"), F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
-    can = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & (OF * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")) & ((SHARE + OF) * most >= SHARE * n)
-    more = x.join(y, "key").filter(can).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    return links.union(_links(saved(more.join(tried, ["a", "b"], "left_anti"), "shingle-pairs"), nodes, texts))
+    can = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & ((SHARE + OF) * most >= SHARE * n) & _may("a", "b")
+    last = _sided(rest, "a", "key").join(_sided(rest, "b", "key"), "key").filter(can).select("nodea", "nodeb").distinct()
+    return links.union(_links(saved(last.join(tried, ["nodea", "nodeb"], "left_anti"), "shingle-pairs"), texts))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct set: node, least (its smallest id), root, component_id."""
-    found = saved(prints(df, id_col, text_col), "shingle-prints")
-    links = components(similar_links(found))
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("least"))
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows as ``prints`` gives them, and one row per distinct set: node, least (its smallest id), root, component_id."""
+    found = saved(prints(df, text_col), "shingle-prints")
+    links = components(similar_links(found, text_col))
+    nodes = found.groupBy("node").agg(F.min(found["row"][id_col]).alias("least"))
     rooted = saved(nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "shingle-nodes")
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "least", "root", "component_id")
-
-
-def _node():
-    @F.pandas_udf("long")
-    def node(s: pd.Series) -> pd.Series:
-        return pd.Series([node_of(shingles(t)) for t in s], dtype="int64")
-
-    return node
+    return found, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "least", "root", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component: one with the smallest id (null if it has no other) and, of the sets with that id, the least."""
-    heads = near_duplicates(df, id_col, text_col).filter("least <=> component_id").groupBy("root").agg(F.min("node").alias("__head"), F.first("component_id").alias("__id"))
-    heads = saved(heads.select("__head", "__id"), "shingle-heads")
-    own = df.withColumn("__node", _node()(F.col(text_col)))
-    kept = own.join(heads, (F.col("__node") == F.col("__head")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__node"]).drop("__node")
+    """``df`` with one row of each component: one with the smallest id (null if it has no other) and, of the sets with that id, the least.
+    Of several rows with that id and set, one stays."""
+    found, near = near_duplicates(df, id_col, text_col)
+    heads = near.filter("least <=> component_id").groupBy("root").agg(F.min("node").alias("node"), F.first("component_id").alias("id"))
+    heads = saved(heads.select("node", "id"), "shingle-heads")
+    own = found.select("row", "node", found["row"][id_col].alias("own"))
+    kept = own.join(heads.withColumnRenamed("node", "head"), (F.col("node") == F.col("head")) & F.col("own").eqNullSafe(F.col("id")), "left_semi")
+    return kept.dropDuplicates(["node"]).select("row.*")

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import saved
 from .components import components
@@ -33,6 +34,14 @@ BITS = 3
 SHARD, SAMPLE, LEAF = 8192, 16384, 48
 
 
+def simhash(h: np.ndarray) -> int:
+    """64 bits (as a signed number): each is 1 if it is set in over half of the hashes; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """bytes.lower and bytes.split know ASCII only, which is what the definition asks for."""
     w = (text or "").encode().lower().split()
@@ -40,21 +49,27 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         return 0
     parts = [b" ".join(w)] if len(w) < width else [b" ".join(x) for x in zip(*(w[i:] for i in range(width)))]
     one = xxhash.xxh64_intdigest
-    h = np.fromiter((one(p, 42) for p in parts), np.uint64, len(parts))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return simhash(np.fromiter((one(p, 42) for p in parts), np.uint64, len(parts)))
+
+
+def with_fingerprint(df: DataFrame, text_col: str = "text", width: int = 3) -> DataFrame:
+    """row (all columns of ``df``), fp (long; the 64 bits of its text)."""
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), width) for t in b.column(1)], pa.int64())], names=["row", "fp"])
+
+    return whole.mapInArrow(run, StructType([whole.schema["row"], StructField("fp", LongType())]))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fp (long; its 64 bits)."""
+    """doc_id, fp."""
     narrow = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), width) for t in b.column(1)], pa.int64())], names=["doc_id", "fp"])
 
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -185,9 +200,10 @@ def close_links(fps: DataFrame, bits: int = BITS, shard: int = SHARD, sample: in
     spark, n = fps.sparkSession, fps.count()
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard))))
     some = fps.sample(fraction=min(1.0, sample / max(n, 1)), seed=3).limit(2 * sample).toPandas().fp.to_numpy(np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
-    tree = Tree(np.sort(some), depth)
+    shared = spark.sparkContext.broadcast(Tree(np.sort(some), depth))  # 16 bytes for each shard of ``shard`` fingerprints
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
             s, at, home = tree.route(fp.view(np.uint64), bits)
@@ -207,12 +223,17 @@ def close_links(fps: DataFrame, bits: int = BITS, shard: int = SHARD, sample: in
     return routed.groupBy("shard").applyInArrow(link, "u long, v long")
 
 
+def _rooted(prints: DataFrame, bits: int, **tree) -> DataFrame:
+    """fp, least (smallest id), root (least fingerprint reachable). prints: doc_id, fp."""
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    links = components(close_links(nodes.select("fp"), bits, **tree))
+    return nodes.join(links.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, **tree) -> DataFrame:
     """One row per input row: doc_id, fp (long), component_id."""
     prints = saved(fingerprints(df, id_col, text_col, width), "simhash")
-    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    links = components(close_links(nodes.select("fp"), bits, **tree))
-    rooted = nodes.join(links.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, bits, **tree)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
 
@@ -221,15 +242,14 @@ def fingerprint_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``df`` with one row of each component: the one with the smallest id. Of rows that share that id one stays. Where no row of
-    the component has an id, one of those with the smallest text digest stays."""
-    found = saved(near_duplicates(df, id_col, text_col, **settings), "simhash-components")
-    heads = found.filter("doc_id = component_id").select(F.col("component_id").alias("__head")).distinct()
-    named = df.join(heads, F.col(id_col) == F.col("__head"), "left_semi").dropDuplicates([id_col])
-    lone = df.filter(F.col(id_col).isNull())
-    bare = fingerprints(lone, text_col, text_col).withColumnRenamed("doc_id", "__text").withColumn("__md5", F.md5(F.coalesce("__text", F.lit("")).cast("binary")))
-    ids = found.filter("component_id IS NULL").select("fp", "root").distinct()
-    first = bare.join(ids, "fp").groupBy("root").agg(F.min("__md5").alias("__head"))
-    unnamed = lone.withColumn("__md5", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).join(first, F.col("__md5") == F.col("__head"), "left_semi").dropDuplicates(["__md5"]).drop("__md5")
-    return named.unionByName(unnamed)
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = BITS, **tree) -> DataFrame:
+    """``df`` with one row of each component: the one with the smallest id (a null id comes last) and, among texts with that id, the least digest.
+    Of several rows with that id and text, one stays. A row is told by its id and text, so rows that share only an id don't stand for each other."""
+    whole = with_fingerprint(df, text_col, width)
+    own = whole.withColumn("id", whole["row"][id_col]).withColumn("md5", F.md5(F.coalesce(whole["row"][text_col], F.lit("")).cast("binary")))
+    found = saved(own, "simhash-rows")
+    rooted = _rooted(found.select(F.col("id").alias("doc_id"), "fp"), bits, **tree).select("fp", "root")
+    each = saved(found.groupBy("fp", "id", "md5").agg(F.count(F.lit(1)).alias("n")).join(rooted, "fp").select("fp", "root", F.struct(F.col("id").isNull().alias("none"), "id", "md5").alias("key")), "simhash-keys")
+    heads = each.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.id").alias("hid"), F.col("key.md5").alias("hmd5"))
+    kept = found.join(heads, found.id.eqNullSafe(F.col("hid")) & (found.md5 == F.col("hmd5")), "left_semi")
+    return kept.dropDuplicates(["id", "md5"]).select("row.*")

@@ -82,14 +82,6 @@ def test_layouts(spark):
     assert chat_format.unknown_layouts(df, "v").first().n == 1
 
 
-def test_fit_lengths():
-    lengths = [(7, 40), (13, 25), (100, 3), (1, 2)]
-    for budget in (0, 1, 5, 137, 500, 900, 905):
-        take = mixing.fit_lengths(lengths, budget, dp_words=64)
-        got = sum(n * k for n, k in take.items())
-        assert all(0 <= take[n] <= c for n, c in lengths) and budget - 6 <= got <= budget
-
-
 def test_components_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     base = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], 120)) for _ in range(40)]
