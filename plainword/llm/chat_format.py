@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints, in native operations.
 
 Each record is a VARIANT. The paths of its nested fields are hashed (``fingerprint``); the hash selects one of
-the declarative ``LAYOUTS``, which says where roles and texts are. ``canonical`` turns records into rows
-(conv, ord, seq, role, text), and ``format_chats`` writes one string per conversation:
+the declarative ``LAYOUTS``, which says where roles and texts are. A record whose hash is unknown takes the layout with the most fields among those
+whose fields it has besides others; one that has none becomes a turn without a role that holds the record as JSON, so nothing is lost. ``canonical`` turns records into rows
+(conv, ord, seq, role, text, layout), and ``format_chats`` writes one string per conversation:
 
     <turn>role<text>text</turn>\n     for each turn, `&` and `<` inside escaped as `&amp;` and `&lt;`
 
@@ -10,8 +11,8 @@ so no text can hold a marker. The loss mask is an array of (turn, start, chars):
 string, escaped, one span for each assistant text. ``read_back`` undoes all of it from the output alone.
 
 Null roles and texts count as empty. Turns stand by (ord, seq), nulls first; ties by role, then text; repeated rows
-are turns of their own. Null conversation ids form one conversation. Records of unknown layouts give no turns
-and are listed by ``unknown_layouts``. A conversation is one row of the output, so it has to fit a task; its rows are
+are turns of their own. Null conversation ids form one conversation. Null records, and records with an empty list of messages, give no turns.
+``unknown_layouts`` lists the layouts that no hash stands for. A conversation is one row of the output, so it has to fit a task; its rows are
 escaped and measured before they meet. Only the named columns are read, so other names can't clash.
 """
 
@@ -64,11 +65,25 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(field_paths(record))
 
 
-def _layout(record: Column, value) -> Column:
-    """``value(layout)`` for the layout that the fingerprint selects; null for unknown ones."""
+def _has(record: Column, x: Layout) -> Column:
+    """Whether the record has the fields that the layout reads."""
+    if x.items:
+        first = F.element_at(F.try_variant_get(record, f"$.{x.items}", f"array<struct<{x.role}: string, {x.text}: string>>"), 1)
+        return F.coalesce(first[x.role].isNotNull() & first[x.text].isNotNull(), F.lit(False))
+    fields = [x.role, x.text] if x.role else [f for _, path in x.turns for f in path.split("+")]
+    has = F.lit(True)
+    for f in fields:
+        has = has & F.try_variant_get(record, f"$.{f}", "string").isNotNull()
+    return has
+
+
+def _layout(record: Column) -> Column:
+    """Place in ``LAYOUTS``: by the fingerprint, else by the fields it has; null for none."""
     case = F
-    for x in LAYOUTS:
-        case = case.when(F.col("__print").isin([F.xxhash64(F.lit(p)) for p in x.paths]), value(x))
+    for i, x in enumerate(LAYOUTS):
+        case = case.when(F.col("__print").isin([F.xxhash64(F.lit(p)) for p in x.paths]), F.lit(i))
+    for i, x in sorted(enumerate(LAYOUTS), key=lambda y: (-max(p.count(",") for p in y[1].paths), y[0])):
+        case = case.when(_has(record, x), F.lit(i))
     return case
 
 
@@ -97,10 +112,14 @@ def _role(role: Column) -> Column:
 
 
 def canonical(records: DataFrame, conv: str, order: str, record: str) -> DataFrame:
-    """conv, ord, seq, role, text: the turns of each record, by the layout of its fingerprint."""
-    v = records.select(F.col(conv).alias("conv"), F.col(order).alias("ord"), F.col(record).alias("__v")).withColumn("__print", fingerprint(F.col("__v")))
-    turns = v.select("conv", "ord", _layout(F.col("__v"), lambda x: _turns(F.col("__v"), x)).alias("__turns"))
-    return turns.select("conv", "ord", F.posexplode("__turns").alias("seq", "__m")).select("conv", "ord", "seq", F.col("__m.role").alias("role"), F.col("__m.text").alias("text"))
+    """conv, ord, seq, role, text, layout (its name; null if none fits): the turns of each record."""
+    v = records.select(F.col(conv).alias("conv"), F.col(order).alias("ord"), F.col(record).alias("__v")).filter(F.col("__v").isNotNull()).withColumn("__print", fingerprint(F.col("__v")))
+    v = v.withColumn("__at", _layout(F.col("__v")))
+    turns, name = F, F
+    for i, x in enumerate(LAYOUTS):
+        turns, name = turns.when(F.col("__at") == i, _turns(F.col("__v"), x)), name.when(F.col("__at") == i, F.lit(x.name))
+    whole = F.array(F.struct(F.lit("").alias("role"), F.to_json("__v").alias("text")))
+    return v.select("conv", "ord", name.alias("layout"), F.posexplode(turns.otherwise(whole)).alias("seq", "__m")).select("conv", "ord", "seq", F.col("__m.role").alias("role"), F.col("__m.text").alias("text"), "layout")
 
 
 def unknown_layouts(records: DataFrame, record: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,16 +29,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if the whole of Spark is this one process, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("plainword.scratch.dir", None)
     if not at:
-        at = spark.conf.get("plainword.scratch.dir", None)
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="plainword-")
-            spark.conf.set("plainword.scratch.dir", at)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="plainword-")
+        spark.conf.set("plainword.scratch.dir", at)
     return at.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver forget finished plans, so that Spark deletes their shuffle files."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor costs a reread only."""
     spark = df.sparkSession

@@ -1,8 +1,9 @@
 """Secret scans: three fixed patterns, and windows of high Shannon entropy within candidate strings.
 
-A candidate is a run of token characters of at least ``WINDOW`` characters. Its character class sets the
-threshold. The entropy of each window follows from the last one by two changed counts. Overlapping windows
-over the threshold join to one span. Spans that an allow-list pattern matches, and those within a base span, are left out.
+A candidate is a run of token characters of at least ``WINDOW`` characters, without the filler in it and cut at its ``-``, ``_``, ``/`` and ``=`` where a piece is long enough
+by itself, so what stands beside a key neither hides it nor changes its class. Of each class of characters, the entropy of each window
+follows from the last one by two changed counts. Overlapping windows over their class's threshold join to one span. Spans that an allow-list
+pattern matches as a whole, and those within a base span, are left out.
 
 Null text counts as empty; empty texts have no spans. Rows are scanned one by one and whole: ties, repeats, null ids and empty
 tables give a row per input row. Only the id and text columns are read, so other names can't clash.
@@ -29,14 +30,15 @@ WINDOW = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 #: Bits per character that a window of each class must reach. Random windows of 20 come near 3.3 (hex), 3.8 and 4.0.
 THRESHOLDS = {"hex": 2.9, "lower_digit": 3.5, "mixed": 3.7}
-#: Candidates that look random and are none.
+#: What parts a candidate: a stretch of one to four characters five times or more, and marks between words.
+FILLER = re.compile(r"(.{1,4}?)\1{4,}")
+MARKS = re.compile(r"[-_/=]+")
+UUID = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
+#: Spans that look random and are none, if all of the span matches.
 ALLOW = [
-    re.compile(r"[A-Za-z]+\Z"),  # a long word
-    re.compile(r"[0-9]+\Z"),  # a number
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z"),  # an identifier
-    re.compile(r"(.{1,4})\1{4,}"),  # filler
-    re.compile(r"(?i).*(example|placeholder|changeme|xxxx|abcdef|012345)"),
-    re.compile(r"[A-Za-z]+([-_/][A-Za-z]+)+\Z"),  # words in a path or slug
+    re.compile(r"[A-Za-z]+"),  # a long word
+    re.compile(r"[0-9]+"),  # a number
+    re.compile(r"(?i)(example|placeholder|changeme|x|abcdef|0?123456789?|[-_/=.+]|(?<![a-z])[a-z]{1,12}(?![a-z]))+"),  # names of placeholders, words in a path or slug
 ]
 
 _TERM = [0.0] + [c / WINDOW * math.log2(c / WINDOW) for c in range(1, WINDOW + 1)]
@@ -84,19 +86,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def pieces(s: str) -> Iterator[tuple[int, int]]:
+    """The parts of a candidate that are judged by themselves: filler out, then cut at marks where a part between them is long enough, else whole."""
+    ends = [m.span() for m in FILLER.finditer(s)]
+    for low, high in zip([0, *(e for _, e in ends)], [*(b for b, _ in ends), len(s)]):
+        if high - low < WINDOW:
+            continue
+        marks = [m.span() for m in MARKS.finditer(s, low, high)]
+        parts = [(a, z) for a, z in zip([low, *(e for _, e in marks)], [*(b for b, _ in marks), high]) if z - a >= WINDOW]
+        yield from parts or [(low, high)]
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        kind = char_class(m[0])
-        if kind is None or any(p.match(m[0]) for p in ALLOW):
-            continue
-        for a, b in hot_spans(m[0], THRESHOLDS[kind]):
-            a, b = a + m.start(), b + m.start()
-            if not any(p.match(text[a:b]) for p in ALLOW) and not any(s <= a and b <= e for s, _, e in base):
-                out.append((a, 3, b))
+        for low, high in pieces(m[0]):
+            part = m[0][low:high]
+            kind = char_class(part)
+            if kind is None:
+                continue
+            for a, b in hot_spans(part, THRESHOLDS[kind]):
+                a, b = a + low + m.start(), b + low + m.start()
+                if not any(p.fullmatch(text[a:b]) for p in ALLOW) and not _uuid(m[0], m.start(), a, b) and not any(s <= a and b <= e for s, _, e in base):
+                    out.append((a, 3, b))
     return out
 
 
+def _uuid(candidate: str, at: int, a: int, b: int) -> bool:
+    """Whether the span lies in an identifier of the candidate."""
+    return any(m.start() + at <= a and b <= m.end() + at for m in UUID.finditer(candidate))
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 

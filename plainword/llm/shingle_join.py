@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import saved
+from .common import saved, tidy
 from .components import components
 from .simhash_vp import BITS, close_links, simhash
 
@@ -113,11 +113,13 @@ def prints(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = shared.value
-        for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(1)]
-            bits = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, LONGS), np.int64)
-            numbers = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array([prefix(s, hot, counts).tobytes() for s in sets], pa.binary()), *(pa.array(bits[:, i].copy()) for i in range(LONGS))], names=names)
+        for whole in batches:
+            for low in range(0, whole.num_rows, 500):  # few sets in memory at once
+                b = whole.slice(low, 500)
+                sets = [shingles(t.as_py()) for t in b.column(1)]
+                bits = np.stack([parity(s) for s in sets])
+                numbers = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([simhash(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array([prefix(s, hot, counts).tobytes() for s in sets], pa.binary()), *(pa.array(bits[:, i].copy()) for i in range(LONGS))], names=names)
 
     more = StructType().add("node", "long").add("n", "integer").add("fp", "long").add("keys", "binary")
     for i in range(LONGS):
@@ -184,16 +186,18 @@ def _allowed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def similar_links(found: DataFrame, text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(u, v) edges that connect what pairs of similar nodes connect. found: as ``prints`` gives."""
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = saved(found.drop("row").dropDuplicates(["node"]), "shingle-distinct")
-    sizes, texts = nodes.drop("keys", "fp"), found.select("node", found["row"][text_col].alias("text"))
+    spark = found.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = saved(found.drop("row", "keys").dropDuplicates(["node"]), "shingle-nodes")
+    sizes, texts = nodes.drop("fp"), found.select("node", found["row"][text_col].alias("text"))
     # The tree's pairs: fingerprints by one node each, and the other nodes with the same fingerprint.
     heads = saved(nodes.groupBy("fp").agg(F.min("node").alias("head")), "shingle-fps")
     close = close_links(heads.select("fp"), bits).join(_sided(heads.withColumnRenamed("fp", "u"), "a", "u"), "u").join(_sided(heads.withColumnRenamed("fp", "v"), "b", "v"), "v")
     near = _pairs(close, "heada", "headb").union(_pairs(nodes.join(heads, "fp"), "node", "head"))
-    rows = _prefix_rows(nodes).repartition(parts, "key")
+    rows = _prefix_rows(found).repartition(parts, "key")
     ends = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    shared = saved(rows.join(ends.hint("shuffle_hash"), "key").drop("hi"), "shingle-keys")
+    shared = saved(rows.join(ends.hint("shuffle_hash"), "key").drop("hi").dropDuplicates(["key", "node"]), "shingle-keys")  # dealt out by key once
+    tidy(spark)
     tried = _allowed(near.union(_pairs(shared, "node", "lo")), sizes)
     links = _links(tried, texts)
 
@@ -210,6 +214,7 @@ def similar_links(found: DataFrame, text_col: str = "text", bits: int = BITS) ->
     star = rest.join(stars, "key").select("node", F.explode(F.array(*(F.when(F.col("root") != F.col(f"root{k}"), F.col(f"node{k}")) for k in range(STARS)))).alias("star"))
     more = _allowed(_pairs(star, "node", "star").distinct().join(tried, ["nodea", "nodeb"], "left_anti"), sizes)
     links, tried = links.union(_links(more, texts)), tried.union(more)
+    tidy(spark)
     rest = mixed(links).join(sizes.drop("n"), "node")
     # At the first shingle that two sets share, what they can share at most is known from its places.
     n, most = F.col("na") + F.col("nb"), F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
@@ -232,7 +237,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Of several rows with that id and set, one stays."""
     found, near = near_duplicates(df, id_col, text_col)
     heads = near.filter("least <=> component_id").groupBy("root").agg(F.min("node").alias("node"), F.first("component_id").alias("id"))
-    heads = saved(heads.select("node", "id"), "shingle-heads")
     own = found.select("row", "node", found["row"][id_col].alias("own"))
-    kept = own.join(heads.withColumnRenamed("node", "head"), (F.col("node") == F.col("head")) & F.col("own").eqNullSafe(F.col("id")), "left_semi")
-    return kept.dropDuplicates(["node"]).select("row.*")
+    # Rows of a head, mostly one: only where there are more are rows dealt out to choose.
+    count = own.groupBy("node", "own").agg(F.count(F.lit(1)).alias("rows"))
+    heads = saved(heads.join(count, "node").filter(F.col("own").eqNullSafe(F.col("id"))).select(F.col("node").alias("head"), "id", "rows"), "shingle-heads")
+    tidy(df.sparkSession)
+    kept = own.join(heads, (F.col("node") == F.col("head")) & F.col("own").eqNullSafe(F.col("id")))
+    return kept.filter("rows = 1").select("row.*").unionByName(kept.filter("rows > 1").dropDuplicates(["node"]).select("row.*"))

@@ -51,30 +51,35 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return each.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """host, score. seeds: host, seed; edges: src, dst, n. score = (1 - damping) * seed + damping * what linking hosts pass on, by share of links.
 
-    What reaches a host without links isn't passed on; sending it back to the seeds would only scale all scores alike."""
+    Waves go out from the seeds until the mass of the last one is under ``tolerance`` of what went out: a wave has at most ``damping`` of the mass before, so
+    that takes log(tolerance) / log(damping) rounds at most, whatever the graph. The scores are the sums of the waves.
+    Seeds aren't scaled to a sum of 1, so a host's score doesn't depend on how many others are seeds. What reaches a host without links isn't
+    passed on; sending it back to the seeds would only scale all scores alike."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = saved(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "host-shares")
-    start = seeds.filter("seed > 0").select("host", ((1 - damping) * F.col("seed")).alias("score"))
-    rank = saved(start, "host-rank")
-    first = rank
-    for _ in range(rounds):
-        passed = share.join(rank, share.src == rank.host).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
-        rank = saved(first.unionByName(passed).groupBy("host").agg(F.sum("score").alias("score")), "host-rank")
-    return rank
-
-
-def host_verdicts(judged: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 12, threshold: float = 0.5) -> DataFrame:
+    wave = saved(seeds.filter("seed > 0").select("host", ((1 - damping) * F.col("seed")).alias("score")), "host-wave")
+    every, least = wave, None
+    while True:
+        mass = wave.agg(F.sum("score")).first()[0] or 0.0
+        least = mass * tolerance if least is None else least
+        if mass <= least or mass == 0:
+            return every.groupBy("host").agg(F.sum("score").alias("score"))
+        passed = share.join(wave, share.src == wave.host).select(F.col("dst").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
+        wave = saved(passed.groupBy("host").agg(F.sum("score").alias("score")), "host-wave")
+        every = every.unionByName(wave)
+
+
+def host_verdicts(judged: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, threshold: float = 0.5) -> DataFrame:
     """host, trust, distrust, host_verdict. judged: host, fixed (verdict of a rule or null), one row a page."""
     share = lambda v: F.avg(F.when(F.col("fixed") == v, 1.0).otherwise(0.0))
     hosts = saved(judged.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")), "hosts")
     links = saved(links, "host-links")
-    linked = not links.isEmpty()
-    trust = spread(hosts.select("host", F.col("allowed").alias("seed")), links, damping, rounds if linked else 0)
+    trust = spread(hosts.select("host", F.col("allowed").alias("seed")), links, damping, tolerance)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = spread(hosts.select("host", F.col("blocked").alias("seed")), back, damping, rounds if linked else 0)
+    distrust = spread(hosts.select("host", F.col("blocked").alias("seed")), back, damping, tolerance)
     both = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").fillna(0.0, ["trust", "distrust"])
     over = F.col("distrust") - F.col("trust") > threshold * (1 - damping)
     return both.withColumn("host_verdict", F.when(over, F.lit("block")).otherwise(F.lit("allow")))

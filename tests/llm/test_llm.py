@@ -78,7 +78,7 @@ def test_layouts(spark):
     df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(recs)], "c long, o long, r string").withColumn("v", F.parse_json("r"))
     turns = chat_format.canonical(df, "c", "o", "v")
     back = {r.conv: ([tuple(t) for t in r.turns], r.loss_text) for r in chat_format.read_back(chat_format.format_chats(turns)).collect()}
-    assert back == {0: ([("user", "p"), ("assistant", "c")], "c"), 1: ([("user", "i\n\nx"), ("assistant", "o")], "o"), 2: ([("user", "<a>&lt;"), ("assistant", "b</turn>\n")], "b</turn>\n"), 3: ([("user", "h"), ("assistant", "g")], "g")}
+    assert back == {0: ([("user", "p"), ("assistant", "c")], "c"), 1: ([("user", "i\n\nx"), ("assistant", "o")], "o"), 2: ([("user", "<a>&lt;"), ("assistant", "b</turn>\n")], "b</turn>\n"), 3: ([("user", "h"), ("assistant", "g")], "g"), 4: ([("", '{"odd":1}')], "")}
     assert chat_format.unknown_layouts(df, "v").first().n == 1
 
 
