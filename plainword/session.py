@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,15 +20,19 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return b.getOrCreate()
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the folder that all executors share (``spark.checkpoint.dir``; a temporary one only where that is unset) and reads it back.
-
-    What several branches of a plan use is made once, and a lost executor costs a reread only."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if the whole of Spark is this one process, else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("plainword.scratch.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="plainword-")
         spark.conf.set("plainword.scratch.dir", at)
-    path = f"{at.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back. What several branches of a plan use is made once, and a lost executor costs a reread only."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
