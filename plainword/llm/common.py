@@ -48,7 +48,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor costs a reread only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -155,23 +155,28 @@ def _sided(df: DataFrame, end: str, *kept: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v) of the pairs (nodea, nodeb) that are similar. texts: node, text; they are fetched for the nodes of the pairs."""
+    """(u, v) of the pairs (nodea, nodeb) that are similar. texts: node, text; they are fetched for the nodes of the pairs. Texts travel, not sets: they are smaller."""
     asked = saved(pairs.select(F.col("nodea").alias("node")).union(pairs.select("nodeb")).distinct(), "shingle-asked")
     if asked.count() <= FEW:
         asked = F.broadcast(asked)  # at most FEW numbers; else texts are dealt out
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["node", "s"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in held:
+                if len(held) >= 64:
+                    held.clear()
+                held[node] = shingles(text.as_py())
+            return held[node]
+
         for b in batches:
-            near = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
+            near = [similar(of(u, x), of(v, y)) for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    own = saved(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, s binary"), "shingle-sets")
+    own = saved(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingle-texts")
     met = pairs.join(_sided(own, "a"), "nodea").join(_sided(own, "b"), "nodeb")
-    return saved(met.select("nodea", "nodeb", "sa", "sb").mapInArrow(compare, "u long, v long"), "shingle-links")
+    return saved(met.select("nodea", "nodeb", "texta", "textb").mapInArrow(compare, "u long, v long"), "shingle-links")
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
