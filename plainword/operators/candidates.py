@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.metaphone import primary_code
 from ..functions.strings import remove_repetition
+from ..session import saved
 
+#: Parts of a lexicon that queries meet one by one.
+_PARTS = 64
 #: Longer words would have too many neighbourhood keys (about n**d / d!).
 LONGEST = 24
 
@@ -39,9 +42,28 @@ def find_within(queries: DataFrame, lexicon: DataFrame, d: int, word: str = "wor
     return pairs.union(long).withColumn("dist", dist).filter("dist >= 0").distinct()
 
 
-def find_nearest(queries: DataFrame, lexicon: DataFrame, n: int = 1, furthest: int = 3) -> DataFrame:
-    """query, cand, dist, rank: the ``n`` nearest words within ``furthest``, by distance, then frequency, then word."""
-    met = find_within(queries, lexicon, furthest).join(lexicon.select(F.col("word").alias("cand"), "freq"), "cand")
+#: Distances up to which nearest words are sought by neighbourhoods; queries still short of words then meet every word.
+NEAR = 2
+
+
+def find_nearest(queries: DataFrame, lexicon: DataFrame, n: int = 1, furthest: int | None = None) -> DataFrame:
+    """query, cand, dist, rank: the ``n`` nearest words by distance, then frequency, then word; within ``furthest``, or at any distance.
+
+    Words within ``NEAR`` are found first. A query with ``n`` of them is settled; only the others are compared with the whole lexicon."""
+    near = min(NEAR, furthest) if furthest is not None else NEAR
+    met = find_within(queries, lexicon, furthest if furthest is not None else near)
+    if furthest is None:
+        met = saved(met, "nearest")
+        settled = met.groupBy("query").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n)
+        short = queries.select(F.col("word").alias("query")).distinct().join(settled, "query", "left_anti").select("query", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("__p"))
+        words = lexicon.select(F.col("word").alias("cand")).distinct().withColumn("__p", F.pmod(F.xxhash64("cand"), F.lit(_PARTS)).cast("int"))
+        far = short.join(words, "__p").select("query", "cand", F.levenshtein("query", "cand").alias("dist"))
+        # Of each part of the lexicon only the n nearest go on.
+        freq = lexicon.select(F.col("word").alias("cand"), "freq")
+        best = Window.partitionBy("query", F.pmod(F.xxhash64("cand"), F.lit(_PARTS))).orderBy("dist", F.col("freq").desc(), "cand")
+        far = far.join(freq, "cand").withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= n).select("query", "cand", "dist")
+        met = met.join(settled, "query", "left_semi").select("query", "cand", "dist").unionByName(far)
+    met = met.join(lexicon.select(F.col("word").alias("cand"), "freq"), "cand")
     order = Window.partitionBy("query").orderBy("dist", F.col("freq").desc(), "cand")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("query", "cand", "dist", "rank")
 

@@ -14,10 +14,15 @@ def raw_stream(spark: SparkSession, path: str) -> DataFrame:
     return parse_raw(spark.readStream.text(path))
 
 
+#: Pairs of a mapping at most: it is one value, which is sent to every task.
+MOST_PAIRS = 1_000_000
+
+
 def simple_normalise_stream(tweets: DataFrame, dictionary: DataFrame, mapping: DataFrame) -> DataFrame:
-    """tweets with norm_tokens. The mapping is read anew in each batch and gathered into one map, so it has to be small enough to send to every task (its trained size is limited)."""
-    pairs = mapping.join(dictionary.select(F.col("word").alias("oov")), "oov", "left_anti").limit(100_000)
-    table = pairs.agg(F.map_from_entries(F.collect_list(F.struct("oov", "iv"))).alias("__map"))
+    """tweets with norm_tokens. The mapping is read anew in each batch and gathered into one map; more than ``MOST_PAIRS`` pairs are an error, none is left out."""
+    pairs = mapping.join(dictionary.select(F.col("word").alias("oov")), "oov", "left_anti")
+    entries = F.collect_list(F.struct("oov", "iv"))
+    table = pairs.agg(F.when(F.count(F.lit(1)) > MOST_PAIRS, F.raise_error(F.lit(f"the mapping has more than {MOST_PAIRS} pairs")).cast("map<string,string>")).otherwise(F.map_from_entries(entries)).alias("__map"))
     return tweets.join(F.broadcast(table)).withColumn("norm_tokens", F.transform("tokens", lambda x: F.coalesce(F.try_element_at(F.col("__map"), x), x))).drop("__map")
 
 
