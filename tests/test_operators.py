@@ -9,11 +9,11 @@ def words(spark, *w):
 
 
 def test_find_within_and_nearest(spark):
-    lex = spark.createDataFrame([("beans", 10), ("beats", 15), ("beers", 32), ("meanies", 923)], "word string, freq long")
-    assert {r.cand for r in candidates.find_within(words(spark, "means"), lex, 2).collect()} == {"beans", "meanies", "beats"}
-    assert candidates.find_nearest(words(spark, "means"), lex).first().cand == "beans"
-    got = [r.cand for r in candidates.find_nearest(words(spark, "beanz"), lex, 3).orderBy("rank").collect()]
-    assert got[:2] == ["beans", "beats"] and len(got) == 3
+    lex = spark.createDataFrame([("plate", 10), ("slate", 15), ("planet", 32), ("elephant", 923)], "word string, freq long")
+    assert {r.cand for r in candidates.find_within(words(spark, "plane"), lex, 2).collect()} == {"plate", "slate", "planet"}
+    assert candidates.find_nearest(words(spark, "plane"), lex).first().cand == "planet"
+    got = [r.cand for r in candidates.find_nearest(words(spark, "planes"), lex, 3).orderBy("rank").collect()]
+    assert got[:2] == ["planet", "plate"] and len(got) == 3
 
 
 def test_find_within_equals_plain_join(spark):
@@ -28,41 +28,41 @@ def test_find_within_equals_plain_join(spark):
 
 
 def test_confusion_set(spark):
-    lex, phon = words(spark, "beats", "bananas", "hello"), spark.createDataFrame([("PNNS", ["bananas", "panninis"])], "code string, words array<string>")
-    cs = lambda d: {r.cand for r in candidates.confusion_set(words(spark, "beans"), lex, phon, 1, d).collect()}
-    assert cs(0) == {"beats"} and cs(1) == {"beats", "bananas", "panninis"}
+    lex, phon = words(spark, "plate", "planet", "garden"), spark.createDataFrame([("PLNT", ["planet", "plant"])], "code string, words array<string>")
+    cs = lambda d: {r.cand for r in candidates.confusion_set(words(spark, "plane"), lex, phon, 1, d).collect()}
+    assert cs(0) == {"plate", "planet"} and cs(1) == {"plate", "planet", "plant"}
 
 
 def test_simple_normalise(spark):
-    df = spark.createDataFrame([(1, ["hello", "there", "mr", "sir", "!"]), (2, [])], "id long, tokens array<string>")
-    out = normalise.simple_normalise(df, ["id"], words(spark, "hello", "there", "sir"), spark.createDataFrame([("mr", "good"), ("sir", "x")], "oov string, iv string"))
-    assert {r.id: r.norm_tokens for r in out.collect()} == {1: ["hello", "there", "good", "sir", "!"], 2: []}
+    df = spark.createDataFrame([(1, ["see", "you", "tmrw", "u", "."]), (2, [])], "id long, tokens array<string>")
+    out = normalise.simple_normalise(df, ["id"], words(spark, "see", "you", "u"), spark.createDataFrame([("tmrw", "tomorrow"), ("u", "x")], "oov string, iv string"))
+    assert {r.id: r.norm_tokens for r in out.collect()} == {1: ["see", "you", "tomorrow", "u", "."], 2: []}
 
 
 def test_votes_and_ranks(spark):
-    df = spark.createDataFrame([(1, x) for x in "abcabb"] + [(2, x) for x in "abcab"], "id long, v string")
-    assert {r.id: r.v for r in ranking.most_frequent(df, ["id"], "v").collect()} == {1: "b", 2: None}
-    cs = spark.createDataFrame([(1, "beats", c) for c in ("beans", "beers", "pleats", "bananas")], "id long, query string, cand string")
+    df = spark.createDataFrame([(1, x) for x in "xyzxyy"] + [(2, x) for x in "xyxyz"], "id long, v string")
+    assert {r.id: r.v for r in ranking.most_frequent(df, ["id"], "v").collect()} == {1: "y", 2: None}
+    cs = spark.createDataFrame([(1, "plane", c) for c in ("plate", "slate", "plaster", "elephant")], "id long, query string, cand string")
     got = {r.cand: r.r for r in ranking.rank_by(cs, ["id"], F.levenshtein("query", "cand"), "r").collect()}
-    assert got == {"beans": 0, "beers": 1, "pleats": 1, "bananas": 2}
-    assert ranking.choose_candidate(cs, ["id"]).first().cand == "beans"
+    assert got == {"plate": 0, "slate": 1, "plaster": 2, "elephant": 3}
+    assert ranking.choose_candidate(cs, ["id"]).first().cand == "plate"
 
 
 def test_context_features(spark):
-    toks = "hello there , my good sir !".split()
+    toks = "we saw a red old boat .".split()
     flat = spark.createDataFrame([(1, toks)], "id long, tokens array<string>").select("id", F.posexplode("tokens").alias("pos", "tok"))
-    p = context.positive_features(flat, ["id"], words(spark, "hello", "there", "good", "sir")).filter("pos = 3")
-    assert {(r.gov, r.off) for r in p.collect()} == {("hello", -3), ("there", -2), ("good", 1), ("sir", 2)}
-    cs = spark.createDataFrame([("my", "moo"), ("my", "midje")], "query string, cand string")
+    p = context.positive_features(flat, ["id"], words(spark, "we", "saw", "old", "boat")).filter("pos = 3")
+    assert {(r.gov, r.off) for r in p.collect()} == {("we", -3), ("saw", -2), ("old", 1), ("boat", 2)}
+    cs = spark.createDataFrame([("red", "rod"), ("red", "rid")], "query string, cand string")
     assert context.negative_features(p, cs).count() == 8
 
 
 def test_merge_and_prefix(spark):
     s = "word string, freq long, data array<string>"
-    m = lexicon.merge(spark.createDataFrame([("hi", 3, ["a"])], s), spark.createDataFrame([("hi", 87, None), ("yo", 70, None), ("you", 2000, None)], s))
+    m = lexicon.merge(spark.createDataFrame([("hey", 5, ["a"])], s), spark.createDataFrame([("hey", 61, None), ("go", 40, None), ("gone", 300, None)], s))
     got = {r.word: (r.freq, r.data) for r in m.collect()}
-    assert got["hi"] == (90, ["a"])
-    assert lexicon.prefix_frequency(m, ["yo"]).first().freq == 2070
+    assert got["hey"] == (66, ["a"])
+    assert lexicon.prefix_frequency(m, ["go"]).first().freq == 340
 
 
 def test_duplicates_and_formats(spark):
@@ -70,8 +70,8 @@ def test_duplicates_and_formats(spark):
     assert sorted(r.id for r in clean.without_duplicates(df, ["id"]).collect()) == [1, 4]
     again = clean.without_duplicates(clean.without_duplicates(df, ["id"]), ["id"])
     assert again.count() == 2
-    j = readers.parse_json(spark.createDataFrame([('{"tokens": ["a", "b"]}',), ('{"text": "A tweet"}',)], "value string"))
-    assert sorted((r.text, r.tokens) for r in j.collect()) == [("A tweet", ["a", "tweet"]), ("a b", ["a", "b"])]
+    j = readers.parse_json(spark.createDataFrame([('{"tokens": ["a", "b"]}',), ('{"text": "Some text"}',)], "value string"))
+    assert sorted((r.text, r.tokens) for r in j.collect()) == [("Some text", ["some", "text"]), ("a b", ["a", "b"])]
 
 
 def test_dependencies(spark, tmp_path):
