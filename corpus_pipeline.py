@@ -16,7 +16,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity of five-word shingles at least 0.8) stays: the one with the smallest id."""
+    """One document of each group of near-duplicates (similarity of five-word shingles at least 0.8) stays: the one with the smallest id.
+
+    Close SimHash pairs from the vantage-point tree first, then an exact prefix filter for what 64 bits can't reach; every link is an exact Jaccard comparison."""
     return shingle_join.keep_one(docs)
 
 
@@ -37,7 +39,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
-#: Trained models and components of links can't be written in SQL; tests hold each stage against a brute-force version.
+#: Trained models and components of links can't be written in SQL. Tests hold the operators of stages 2 to 5 against brute-force versions; the classifier by accuracy.
 ORACLE_SQL = None
 
 
