@@ -48,11 +48,18 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def window(i: Column) -> Column:
         at = [F.get("__w", i + k) for k in range(3)]
-        return F.struct(F.xxhash64(*at).alias("h"), F.concat_ws(" ", *at).alias("g"), i.alias("p"))
+        return F.struct(F.xxhash64(*at).alias("h"), i.alias("p"))
 
     # Windows sorted by content: one found twice stands beside its equal.
     s = w.withColumn("__s", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window))))
-    same = lambda x, i: F.coalesce((x["h"] == F.get("__s", i)["h"]) & (x["g"] == F.get("__s", i)["g"]), F.lit(False))  # noqa: E731  the hash sorts faster, the words decide
+    def same(x: Column, i: Column) -> Column:
+        """Hashes sort the windows; where two beside each other are equal, the words decide."""
+        y, word = F.get("__s", i), lambda p, k: F.get("__w", p + k)
+        equal = x["h"] == y["h"]
+        for k in range(3):
+            equal = equal & (word(x["p"], k) == word(y["p"], k))
+        return F.coalesce(equal, F.lit(False))
+
     twice = F.transform("__s", lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["p"]))
     p = s.withColumn("__p", F.sort_array(F.array_compact(twice))).drop("__s")
     covered = F.transform("__p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col("__p"), i + 1) - x, F.lit(3))))
