@@ -1,7 +1,7 @@
 """Candidate words for a token: near in spelling, or near in sound.
 
-Words within an edit distance are found by an equi-join on deletion neighbourhoods: two words within distance d share a string that deleting at most d
-characters from each gives. The distance itself is checked after the join, so the result is exact; words too long to delete from meet by length instead."""
+Words within an edit distance are found by an equi-join on segments: a word cut into d + 1 parts keeps one of them whole under d edits, at a place that the
+lengths bound (Li, Deng, Wang, Feng: Pass-Join, 2011). The distance itself is checked after the join, so the result is exact for words of any length."""
 
 from __future__ import annotations
 
@@ -14,35 +14,55 @@ from ..session import saved
 
 #: Parts of a lexicon that queries meet one by one.
 _PARTS = 64
-#: Longer words would have too many neighbourhood keys (about n**d / d!).
-LONGEST = 24
 
 
-def deletions(word: Column, d: int) -> Column:
-    """Distinct strings that deleting at most ``d`` characters from the word gives."""
-    out = F.array(word)
-    for _ in range(d):
-        shorter = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i, x=x: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, shorter))))
-    return out
+def _part(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+    """Place (from 1) and length of part ``i`` of a word of ``length`` characters cut into ``parts``; the longer parts come last."""
+    base, first_longer = F.floor(length / parts), parts - length % parts
+    return 1 + base * i + F.greatest(F.lit(i) - first_longer, F.lit(0)), base + (F.lit(i) >= first_longer).cast("int")
+
+
+def _key(length: Column, i: int, text: Column) -> Column:
+    return F.struct(length.cast("int").alias("n"), F.lit(i).alias("i"), text.alias("s"))
+
+
+def segments(word: Column, d: int) -> Column:
+    """Keys (n, i, s) of a word: its d + 1 parts. A word too short for that has the one key of its length."""
+    n = F.length(word)
+    parts = [_part(n, i, d + 1) for i in range(d + 1)]
+    return F.when(n > d, F.array(*(_key(n, i, F.substring(word, at, size)) for i, (at, size) in enumerate(parts)))).otherwise(F.array(_key(n, 0, F.lit(""))))
+
+
+def probes(word: Column, d: int) -> Column:
+    """Keys that a word within distance ``d`` of this one can have. With the words' lengths ``k`` apart, ``i`` parts before and ``d - i`` behind, an unedited part
+    has moved by at most ``i`` from its place counted from the front, and by at most ``d - i`` counted from the end."""
+    n, keys = F.length(word), []
+    for k in range(-d, d + 1):
+        other = n - k
+        for i in range(d + 1):
+            at, size = _part(other, i, d + 1)
+            for move in range(max(-i, k - (d - i)), min(i, k + (d - i)) + 1):
+                there = at + move
+                keys.append(F.when((other > d) & (there >= 1) & (there + size <= n + 1), _key(other, i, F.substring(word, there, size))))
+        keys.append(F.when((other >= 0) & (other <= d), _key(other, 0, F.lit(""))))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
 def find_within(queries: DataFrame, lexicon: DataFrame, d: int, word: str = "word") -> DataFrame:
-    """query, cand, dist: every lexicon word within distance ``d`` of a query word."""
-    q = queries.select(F.col(word).alias("query")).distinct()
-    c = lexicon.select(F.col("word").alias("cand")).distinct()
-    short = F.lit(LONGEST)
-    a = q.filter(F.length("query") <= short).select("query", F.explode(deletions(F.col("query"), d)).alias("__k"))
-    b = c.filter(F.length("cand") <= short).select("cand", F.explode(deletions(F.col("cand"), d)).alias("__k"))
-    pairs = a.join(b, "__k").select("query", "cand")
-    lengths = F.sequence(F.length("query") - d, F.length("query") + d)
-    long_q = q.select("query", F.explode(lengths).alias("__n"))
-    long = long_q.join(c.withColumn("__n", F.length("cand")), "__n").filter((F.length("query") > short) | (F.length("cand") > short)).select("query", "cand")
+    """query, cand, dist: every lexicon word within distance ``d`` of a query word. Null words match nothing."""
+    # Few words make much work here: their bytes alone would put them into one task.
+    spark = queries.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = queries.select(F.col(word).alias("query")).filter("query IS NOT NULL").repartition(tasks, "query").distinct()
+    q = own.select("query", F.explode(probes(F.col("query"), d)).alias("__k"))
+    c = lexicon.select(F.col("word").alias("cand")).filter("cand IS NOT NULL").distinct().select("cand", F.explode(segments(F.col("cand"), d)).alias("__k"))
+    keys = ["__n", "__i", "__s"]
+    q, c = (x.select(x.columns[0], *(F.col(f"__k.{k[2:]}").alias(k) for k in keys)) for x in (q, c))
     dist = F.levenshtein(F.col("query"), F.col("cand"), d)
-    return pairs.union(long).withColumn("dist", dist).filter("dist >= 0").distinct()
+    return q.join(c, keys).select("query", "cand", dist.alias("dist")).filter("dist >= 0").distinct()
 
 
-#: Distances up to which nearest words are sought by neighbourhoods; queries still short of words then meet every word.
+#: Distances up to which nearest words are sought by segments; queries still short of words then meet every word.
 NEAR = 2
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 
 def indexed_context(tokens: DataFrame, ids: list[str], width: int) -> DataFrame:
     """ids, pos, tok, off, other: each neighbour within ``width``. An equi-join: every token is sent to the places it neighbours."""
@@ -29,15 +31,41 @@ def ngram_context(tokens: DataFrame, grams: DataFrame, ids: list[str], n: int, w
 
 
 def context_counts(df: DataFrame, ids: list[str], universe: DataFrame, dictionary: DataFrame, n: int = 2, width: int = 3, tokens: str = "tokens") -> DataFrame:
-    """word, off, gram, cnt, for the words of ``universe`` and n-grams of dictionary words only."""
-    flat = df.select(*ids, F.posexplode(tokens).alias("pos", "tok"))
-    known = flat.join(dictionary.select(F.col("word").alias("tok")), "tok", "left_semi")
-    grams = known
-    for k in range(1, n):  # an n-gram is n known tokens in a row
-        grams = grams.join(known.select(*ids, (F.col("pos") - k).alias("pos"), F.col("tok").alias(f"t{k}")), [*ids, "pos"])
-    grams = grams.select(*ids, F.col("pos").alias("start"), F.array("tok", *(f"t{k}" for k in range(1, n))).alias("gram"))
-    wanted = flat.join(universe.select(F.col("word").alias("tok")), "tok", "left_semi")
-    return ngram_context(wanted, grams, ids, n, width).groupBy(F.col("tok").alias("word"), "off", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    """word, off, gram, cnt, for the words of ``universe`` and n-grams of dictionary words only.
+
+    Both lists are looked up once per token; then each text is put together again, and its n-grams and their places are found within the row. ``ids`` name a text."""
+    marks = dictionary.select(F.col("word").alias("tok"), F.lit(1).alias("k"), F.lit(0).alias("u")).unionByName(universe.select(F.col("word").alias("tok"), F.lit(0).alias("k"), F.lit(1).alias("u")))
+    marks = saved(marks.filter("tok IS NOT NULL").groupBy("tok").agg((F.max("k") == 1).alias("known"), (F.max("u") == 1).alias("wanted")), "marks")
+    flat = df.select(*ids, F.posexplode(tokens).alias("pos", "tok")).join(marks, "tok")
+    # Only marked tokens go on: a gap in the places is a token that no list has.
+    own = F.struct(*(F.col(i) for i in ids))
+    marked = flat.groupBy(own.alias("__id")).agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "known", "wanted"))).alias("__t"))
+
+    def at(i: Column, k: int) -> Column:
+        return F.get("__t", i + k)
+
+    def gram(i: Column) -> Column:
+        row = [at(i, k) for k in range(n)]
+        whole = row[0]["known"]
+        for k in range(1, n):
+            whole = whole & row[k]["known"] & (row[k]["pos"] == row[0]["pos"] + k)
+        return F.when(F.coalesce(whole, F.lit(False)), F.struct(row[0]["pos"].alias("start"), F.array(*(x["tok"] for x in row)).alias("gram")))
+
+    grams = marked.withColumn("__g", F.transform("__t", lambda x, i: gram(i)))
+    reach = width + n - 1
+
+    def around(x: Column, i: Column) -> Column:
+        """The n-grams near the token. Those within reach stand at most as many entries away as places."""
+        near = [F.get("__g", i + k) for k in (*range(-reach, 0), *range(1, width + 1))]
+        off = lambda g: F.when(g["start"] > x["pos"], g["start"] - x["pos"]).otherwise(g["start"] + (n - 1) - x["pos"])
+        # Before a token, an n-gram has to end there too.
+        fits = lambda g: g.isNotNull() & F.abs(off(g)).between(1, width) & ((g["start"] > x["pos"]) | (g["start"] + (n - 1) < x["pos"]))
+        found = F.filter(F.array(*near), fits)
+        return F.struct(x["tok"].alias("word"), F.transform(found, lambda g: F.struct(off(g).alias("off"), g["gram"].alias("gram"))).alias("near"))
+
+    each = F.filter(F.transform("__t", lambda x, i: F.when(x["wanted"], around(x, i))), lambda x: x.isNotNull())
+    flat = grams.select(F.explode(each).alias("w")).select(F.col("w.word").alias("word"), F.explode("w.near").alias("g"))
+    return flat.groupBy("word", F.col("g.off").alias("off"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def feature_totals(counts: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ def word_count(df: DataFrame, tokens: Column) -> DataFrame:
 
 def dictionary(words: DataFrame, include: tuple[str, ...] = INCLUDED, exclude: tuple[str, ...] = ()) -> DataFrame:
     """word: given words and ``include``, without ``exclude`` and blanks."""
-    both = words.select("word").union(words.sparkSession.createDataFrame([(w,) for w in include], "word string")) if include else words.select("word")
+    more = words.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*map(F.lit, include))).alias("word")) if include else None
+    both = words.select("word").union(more) if include else words.select("word")
     return both.filter((F.col("word") != "") & ~F.col("word").isin(list(exclude))).distinct()
 
 

@@ -38,8 +38,8 @@ def _tokens(df: DataFrame, *ids: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, tokens of the English documents."""
-    return _tokens(table(spark, sf, "documents").filter("lang = 'en'"), "doc_id")
+    """doc_id, tokens of all documents."""
+    return _tokens(table(spark, sf, "documents"), "doc_id")
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,13 +59,22 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return lexicon.word_count(documents(spark, sf), F.col("tokens"))
 
 
+def _known(counts: DataFrame, least: int = KNOWN) -> DataFrame:
+    return lexicon.dictionary(counts.filter(F.col("freq") >= least))
+
+
 def dictionary(spark: SparkSession, sf: str, least: int = KNOWN) -> DataFrame:
-    return saved(lexicon.dictionary(_counts(spark, sf).filter(F.col("freq") >= least)), "dictionary")
+    return saved(_known(_counts(spark, sf), least), "dictionary")
+
+
+def _saved_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of ``_counts``, made once for all that a query takes from them."""
+    return saved(_counts(spark, sf), "counts")
 
 
 _TOK = r"list_filter(list_transform(string_split(lower(coalesce(text, '')), ' '), lambda x: regexp_extract(x, '^[a-z][a-z\-'']*')), lambda x: x <> '')"
 _WORD = r"^\d?[a-z]+[a-z0-9]*'?[a-z]+$".replace("'", "''")
-BASE = rf"""WITH docs AS (SELECT doc_id, {_TOK} AS tokens FROM documents WHERE lang = 'en'),
+BASE = rf"""WITH docs AS (SELECT doc_id, {_TOK} AS tokens FROM documents),
 conv AS (SELECT conv_id, turn, {_TOK} AS tokens FROM conversations),
 bench AS (SELECT item_id, {_TOK} AS tokens FROM benchmark),
 flat AS (SELECT conv_id, turn, unnest(range(len(tokens)))::INTEGER AS pos, unnest(tokens) AS tok FROM conv),
@@ -80,9 +89,9 @@ common AS (SELECT word FROM counts WHERE freq >= {COMMON} UNION SELECT word FROM
 n AS (SELECT conv_id, turn, list(CASE WHEN d.word IS NULL THEN coalesce(iv, tok) ELSE tok END ORDER BY pos) AS t FROM flat LEFT JOIN dict d ON tok = d.word LEFT JOIN nmd ON tok = oov GROUP BY ALL)
 SELECT conv_id, turn, array_to_string(conv.tokens, ' ') AS tokens, coalesce(array_to_string(t, ' '), '') AS norm_tokens FROM conv LEFT JOIN n USING (conv_id, turn)""")
 def simple_normalise(spark, sf):
-    counts = _counts(spark, sf)
+    counts = _saved_counts(spark, sf)
     mapping = counts.filter("freq < 5 AND freq >= 2").select(F.col("word").alias("oov"), F.upper("word").alias("iv"))
-    out = normalise.simple_normalise(conversations(spark, sf), CONV, dictionary(spark, sf), mapping)
+    out = normalise.simple_normalise(conversations(spark, sf), CONV, _known(counts), mapping)
     return out.select(*CONV, S.join_tokens(F.col("tokens")).alias("tokens"), S.join_tokens(F.col("norm_tokens")).alias("norm_tokens"))
 
 
@@ -93,12 +102,13 @@ def word_count(spark, sf):
 
 @query(BASE + "SELECT word, freq FROM counts SEMI JOIN dict USING (word)")
 def stratify_iv(spark, sf):
-    return lexicon.stratify(_counts(spark, sf), dictionary(spark, sf)).filter("iv").select("word", "freq")
+    counts = _saved_counts(spark, sf)
+    return lexicon.stratify(counts, _known(counts)).filter("iv").select("word", "freq")
 
 
 @query(BASE + f"SELECT word, freq FROM counts ANTI JOIN common USING (word) WHERE freq >= {RARE} AND length(word) >= 4")
 def stratify_oov(spark, sf):
-    return lexicon.frequent_oov(_counts(spark, sf), dictionary(spark, sf, COMMON), RARE, 4)
+    return _oov(_saved_counts(spark, sf))
 
 
 @query(BASE + "SELECT conv_id, turn, array_to_string(tokens, ' ') AS joined, len(tokens)::BIGINT AS n FROM conv")
@@ -243,31 +253,38 @@ def lexicon_delete(spark, sf):
 _OOV = BASE + f", oov AS (SELECT word, freq FROM counts ANTI JOIN common USING (word) WHERE freq >= {RARE} AND length(word) >= 4)"
 
 
-def _oov(spark, sf) -> DataFrame:
-    return stratify_oov(spark, sf)
+def _oov(counts: DataFrame) -> DataFrame:
+    return lexicon.frequent_oov(counts, _known(counts, COMMON), RARE, 4)
 
 
 @query(_OOV + "SELECT o.word AS query, c.word AS cand, levenshtein(o.word, c.word)::INTEGER AS dist FROM oov o, common c WHERE levenshtein(o.word, c.word) <= 2")
 def find_within(spark, sf):
-    return candidates.find_within(_oov(spark, sf), dictionary(spark, sf, COMMON), 2)
+    counts = _saved_counts(spark, sf)
+    return candidates.find_within(_oov(counts), _known(counts, COMMON), 2)
 
 
 @query(_OOV + """SELECT query, cand, dist::INTEGER AS dist, rank::INTEGER AS rank FROM (
 SELECT o.word AS query, c.word AS cand, levenshtein(o.word, c.word) AS dist, row_number() OVER (PARTITION BY o.word ORDER BY levenshtein(o.word, c.word), c.freq DESC, c.word) AS rank
 FROM oov o, counts c WHERE c.freq >= 30 AND levenshtein(o.word, c.word) <= 2) WHERE rank <= 3""")
 def find_nearest(spark, sf):
-    return candidates.find_nearest(_oov(spark, sf), _counts(spark, sf).filter(F.col("freq") >= COMMON), 3, 2)
+    counts = _saved_counts(spark, sf)
+    return candidates.find_nearest(_oov(counts), counts.filter(F.col("freq") >= COMMON), 3, 2)
+
+
+def _spelt(counts: DataFrame) -> DataFrame:
+    return candidates.confusion_set(_oov(counts), _known(counts, COMMON), None, 2)
 
 
 @query(_OOV + "SELECT o.word AS query, c.word AS cand, 1 AS source FROM oov o, common c WHERE levenshtein(o.word, c.word) <= 2")
 def confusion_lexical(spark, sf):
-    return candidates.confusion_set(_oov(spark, sf), dictionary(spark, sf, COMMON), None, 2)
+    return _spelt(_saved_counts(spark, sf))
 
 
 @query()
 def confusion_full(spark, sf):
-    d = dictionary(spark, sf, COMMON)
-    return candidates.confusion_set(_oov(spark, sf), d, candidates.phonetic_dictionary(d), 2, 1)
+    counts = _saved_counts(spark, sf)
+    d = _known(counts, COMMON)
+    return candidates.confusion_set(_oov(counts), d, candidates.phonetic_dictionary(d), 2, 1)
 
 
 @query()
@@ -280,13 +297,13 @@ cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY
 """
 
 
-def _cut(spark, sf) -> DataFrame:
-    return candidates.cut(confusion_lexical(spark, sf), _counts(spark, sf), 30)
+def _cut(counts: DataFrame) -> DataFrame:
+    return candidates.cut(_spelt(counts), counts, 30)
 
 
 @query(_CUT + "SELECT query, cand, freq, rank::INTEGER AS rank FROM cut")
 def confusion_cut(spark, sf):
-    return _cut(spark, sf).select("query", "cand", "freq", "rank")
+    return _cut(_saved_counts(spark, sf)).select("query", "cand", "freq", "rank")
 
 
 def _positions(spark, sf) -> DataFrame:
@@ -344,17 +361,18 @@ cc AS (SELECT tok AS word, off::INTEGER AS off, gram, count(*) AS cnt FROM (SELE
 """
 
 
-def _pairs(spark, sf) -> DataFrame:
-    return saved(_cut(spark, sf).select("query", "cand").distinct(), "pairs")
+def _pairs(spark, sf, counts: DataFrame | None = None) -> DataFrame:
+    return saved(_cut(_saved_counts(spark, sf) if counts is None else counts).select("query", "cand").distinct(), "pairs")
 
 
 def _context_counts(spark, sf) -> DataFrame:
-    return _counted(spark, sf, _pairs(spark, sf))
+    counts = _saved_counts(spark, sf)
+    return _counted(spark, sf, _pairs(spark, sf, counts), counts)
 
 
-def _counted(spark, sf, p: DataFrame) -> DataFrame:
+def _counted(spark, sf, p: DataFrame, counts: DataFrame) -> DataFrame:
     universe = p.select(F.col("query").alias("word")).union(p.select("cand")).distinct()
-    return context.context_counts(documents(spark, sf), ["doc_id"], universe, dictionary(spark, sf, COMMON))
+    return context.context_counts(documents(spark, sf), ["doc_id"], universe, _known(counts, COMMON))
 
 
 @query(_UNIVERSE + "SELECT * FROM cc")
@@ -394,8 +412,9 @@ def _register_similarities() -> None:
     for name in similarity.MEASURES:
 
         def run(spark, sf, name=name):
-            pairs = _pairs(spark, sf)
-            scored = similarity.similarity(pairs, _counted(spark, sf, pairs), name)
+            counts = _saved_counts(spark, sf)
+            pairs = _pairs(spark, sf, counts)
+            scored = similarity.similarity(pairs, _counted(spark, sf, pairs, counts), name)
             return scored.select("query", "cand", (F.round("score", 6) + 0.0).alias("score"))
 
         run.__name__ = f"similarity_{name}"
@@ -407,8 +426,9 @@ _register_similarities()
 
 @query(_similarity_sql("lin") + "SELECT query, (max({'s': round(score, 9), 'c': cand})).c AS cand FROM sim WHERE NOT isnan(score) GROUP BY query")
 def best_pair(spark, sf):
-    pairs = _pairs(spark, sf)
-    scored = similarity.similarity(pairs, _counted(spark, sf, pairs), "lin").withColumn("score", F.round("score", 9))
+    counts = _saved_counts(spark, sf)
+    pairs = _pairs(spark, sf, counts)
+    scored = similarity.similarity(pairs, _counted(spark, sf, pairs, counts), "lin").withColumn("score", F.round("score", 9))
     return similarity.best_pair(scored).select("query", "cand")
 
 
@@ -440,7 +460,7 @@ def clean_corpus(spark, sf):
     return clean.clean_corpus(conversations(spark, sf), CONV, dictionary(spark, sf)).select(*CONV)
 
 
-_TRI = BASE + """, pad AS (SELECT ['<s>', '<s>'] || tokens || ['</s>'] AS t FROM bench WHERE len(tokens) > 0),
+_TRI = BASE + """, pad AS (SELECT ['<s>', '<s>'] || tokens || ['</s>'] AS t FROM docs WHERE len(tokens) > 0),
 tri AS (SELECT t[i] AS a, t[i + 1] AS b, t[i + 2] AS c, count(*) AS n FROM (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM pad) GROUP BY ALL),
 bi AS (SELECT b, c, count(*) AS n FROM tri GROUP BY ALL), uni AS (SELECT c, count(*) AS n FROM bi GROUP BY c), p1 AS (SELECT c, n::DOUBLE / sum(n) OVER () AS p FROM uni),
 h3 AS (SELECT a, b, sum(n) AS n, count(*) AS k FROM tri GROUP BY ALL), h2 AS (SELECT b, sum(n) AS n, count(*) AS k FROM bi GROUP BY b)
@@ -448,12 +468,12 @@ h3 AS (SELECT a, b, sum(n) AS n, count(*) AS k FROM tri GROUP BY ALL), h2 AS (SE
 
 
 def _model(spark, sf) -> langmodel.Model:
-    return langmodel.train(benchmark(spark, sf))
+    return langmodel.train(documents(spark, sf))
 
 
 @query(_TRI + "SELECT * FROM tri")
 def trigram_counts(spark, sf):
-    return langmodel.trigram_counts(benchmark(spark, sf))
+    return langmodel.trigram_counts(documents(spark, sf))
 
 
 @query(_TRI + "SELECT c, round(p, 9) AS p FROM p1")
@@ -670,7 +690,8 @@ def _models(spark, sf) -> normalise.Models:
 
 @query()
 def normalisation_dictionary(spark, sf):
-    return jobs.normalisation_pairs(documents(spark, sf), ["doc_id"], dictionary(spark, sf, COMMON), candidates.phonetic_dictionary(dictionary(spark, sf, COMMON)), Config(nmd_min_freq=RARE))
+    d = dictionary(spark, sf, COMMON)
+    return jobs.normalisation_pairs(documents(spark, sf), ["doc_id"], d, candidates.phonetic_dictionary(d), Config(nmd_min_freq=RARE))
 
 
 @query()

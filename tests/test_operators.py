@@ -20,11 +20,12 @@ def test_find_within_equals_plain_join(spark):
     import random
 
     rng = random.Random(3)
-    vocab = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(60)} | {"a" * 30, "a" * 29 + "b"})
-    df = words(spark, *vocab)
-    got = {(r.query, r.cand) for r in candidates.find_within(df, df, 2).collect()}
-    plain = df.select(F.col("word").alias("a")).crossJoin(df.select(F.col("word").alias("b"))).filter(F.levenshtein("a", "b") <= 2)
-    assert got == {(r.a, r.b) for r in plain.collect()}
+    vocab = sorted({"".join(rng.choice("ab\u00e9\U0001f600") for _ in range(rng.randint(0, 7))) for _ in range(90)} | {"a" * 30, "a" * 29 + "b", "ba" * 15})
+    df = words(spark, *vocab, None)
+    plain = df.select(F.col("word").alias("a")).crossJoin(df.select(F.col("word").alias("b"))).select("a", "b", F.levenshtein("a", "b").alias("n")).collect()
+    for d in (0, 1, 2, 3):
+        got = [(r.query, r.cand, r.dist) for r in candidates.find_within(df, df, d).collect()]
+        assert sorted(got) == sorted((r.a, r.b, r.n) for r in plain if r.n is not None and r.n <= d), d
 
 
 def test_confusion_set(spark):
@@ -108,3 +109,23 @@ def test_models_of_the_queries_take_all_pairs_and_sounds(spark, tmp_path, monkey
     for phonetic in (m.phonetic, seen["phonetic"]):
         assert ["knight", "night"] in [r.words for r in phonetic.collect()]
     assert "hills" in seen["negatives"]  # only "falls" is near, two edits apart
+
+
+def test_context_counts_equal_plain_loops(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdef") for _ in range(rng.choice((0, 1, 3, 12, 40)))] for _ in range(30)]
+    df = spark.createDataFrame([(i // 2, i % 2, t) for i, t in enumerate(texts)] + [(99, 0, None)], "x long, y long, tokens array<string>")
+    for n, width in ((1, 2), (2, 3), (3, 1)):
+        expected = Counter()
+        for t in texts:
+            for p, w in enumerate(t):
+                for off in (o for o in range(-width, width + 1) if o):
+                    start = p + off if off > 0 else p + off - (n - 1)
+                    gram = tuple(t[start : start + n]) if start >= 0 else ()
+                    if w in "aef" and len(gram) == n and set(gram) <= set("abc"):
+                        expected[w, off, gram] += 1
+        rows = context.context_counts(df, ["x", "y"], words(spark, "a", "e", "f", None), words(spark, "a", "b", "c", "c", None), n, width).collect()
+        assert {(r.word, r.off, tuple(r.gram)): r.cnt for r in rows} == expected and len(rows) == len(expected)
