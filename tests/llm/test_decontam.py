@@ -99,3 +99,25 @@ def test_odd_rows(spark):
     for x, y in ((df.limit(0), b), (df, b.limit(0))):
         assert decontam.find_leaks(x, y).count() == 0
         assert decontam.without_leaks(x, y).count() == x.count()
+
+
+def test_every_document_shapes_the_basis(spark):
+    rng = np.random.default_rng(3)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(50)]
+    leaks = [[topics[40 + k][j] if j in (2, 5, 7) else x for j, x in enumerate(topics[k])] for k in range(8)]
+    texts = [rng.permutation(topics[i % 40]).tolist() for i in range(6960)] + topics[40:] + leaks  # fewer than DIMENSIONS unlike rows, some of them once
+    docs, items = rows(spark, [" ".join(t) for t in texts]), bench(spark, [" ".join(t) for t in topics[:40]])
+    ((r, _),) = decontam.retrievers(docs, items)
+    idf = np.sqrt(r.padded_energy[:-1])
+    basis = r.padded[:-1] / idf[:, None]
+
+    def vector(t):
+        v = np.zeros(decontam.TERMS)
+        for x in t:
+            v[decontam.term(x)] += idf[decontam.term(x)]
+        return v / np.linalg.norm(v)
+
+    assert min(np.linalg.norm(vector(t) @ basis) for t in topics + leaks) > 0.99
+    found = {r.doc_id: r for r in decontam.find_leaks(docs, items).collect() if r.doc_id >= 6970}
+    for k, t in enumerate(leaks):  # the space holds all rows, so the cosine is that of the whole vectors
+        assert found[6970 + k].item_id == k and abs(found[6970 + k].cosine - vector(t) @ vector(topics[k])) < 0.01
