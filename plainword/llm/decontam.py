@@ -23,6 +23,7 @@ Null ids pass through. An empty corpus or benchmark gives an empty result. Only
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -96,6 +97,14 @@ def together(texts: pa.Array) -> Iterator[pa.Array]:
         low = high
 
 
+def _release() -> None:
+    """Gives memory that was freed back to the system: a worker that is kept for later tasks else holds it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def lcs_length(a: list, b: Iterable) -> int:
     """Longest common subsequence of two word lists; a row of the table is the bits of one integer (Hyyro, 2004)."""
     at: dict = {}
@@ -148,6 +157,7 @@ def term_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(ends), pa.int64()), pa.nulls(len(ends), pa.int64()), held], names=names)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, (-1, -2))), pa.array(np.append(seen[at], (n, rows))), pa.nulls(len(at) + 2, pa.binary())], names=names)
+        _release()
 
     return saved(df.select(F.col(text_col)).mapInArrow(run, "term long, n long, passages binary"), "terms")
 
@@ -266,8 +276,11 @@ def latent_basis(rows: DataFrame, n: int, items: list[str], idf: np.ndarray, rou
             for b in batches:
                 _gram_passages(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint16).reshape(-1, PASSAGE), weighted, energy, total)
             total = total[:TERMS] * idf[:, None]
+            del weighted
             at = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([total[i].tobytes() for i in at], pa.binary())], names=["term", "part"])
+            del total
+            _release()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: dict[int, np.ndarray] = {}

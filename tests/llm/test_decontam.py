@@ -121,3 +121,30 @@ def test_every_document_shapes_the_basis(spark):
     found = {r.doc_id: r for r in decontam.find_leaks(docs, items).collect() if r.doc_id >= 6970}
     for k, t in enumerate(leaks):  # the space holds all rows, so the cosine is that of the whole vectors
         assert found[6970 + k].item_id == k and abs(found[6970 + k].cosine - vector(t) @ vector(topics[k])) < 0.01
+
+
+def test_every_word_shapes_the_basis(spark):
+    ends = [[f"e{k}w{j}" for j in range(8)] for k in range(20)]
+    texts = [[f"t{k}w{j}" for j in range(32)] + end for k, end in enumerate(ends)]
+    ((r, _),) = decontam.retrievers(rows(spark, [" ".join(t) for t in texts]), bench(spark, [" ".join(texts[0][:12])]))
+    assert min(np.linalg.norm(r.padded[decontam.term(x)]) for end in ends for x in end) > 0.1
+
+
+def test_products_equal_dense_ones(spark):
+    rng = np.random.default_rng(4)
+    chance = 1 / np.arange(1, 401)
+    texts = [rng.choice(400, int(n), p=chance / chance.sum()) for n in (*rng.integers(0, 400, 300), 0, 1, 32, 33, 64, 65)] + [np.full(70, 5)]
+    passages, many = decontam._passages(np.concatenate(texts).astype(np.uint16), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
+    assert many.tolist() == [-(-len(t) // 32) for t in texts]
+    first = np.concatenate(([0], np.cumsum(many)))
+    for t, a, b in zip(texts, first, first[1:]):
+        own = passages[a:b]
+        assert sorted(own[own < decontam.TERMS].tolist()) == sorted(t.tolist())
+    idf = rng.random(decontam.TERMS).astype(np.float32) + 0.5
+    x = rng.standard_normal((decontam.TERMS, 5)).astype(np.float32)
+    dense = np.array([np.bincount(p, minlength=decontam.TERMS + 1)[:400] * idf[:400] for p in passages])
+    dense /= np.linalg.norm(dense, axis=1)[:, None]
+    total = np.zeros((decontam.TERMS + 1, 5), np.float32)
+    decontam._gram_passages(passages, np.append(x * idf[:, None], np.zeros_like(x[:1]), 0), np.append(idf**2, np.float32(0)), total)
+    assert np.allclose(total[:400] * idf[:400, None], dense.T @ (dense @ x[:400]), rtol=1e-3, atol=1e-2)
+    assert not total[400 : decontam.TERMS].any()
