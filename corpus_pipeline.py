@@ -1,4 +1,4 @@
-"""The corpus pipeline: each stage works on all that the one before kept, through Parquet in the shared folder."""
+"""The corpus pipeline: each stage works on all that the one before kept, through Parquet in the shared folder. What the driver holds of the one before goes first."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from plainword.llm import decontam, mixing, quality_model, shard_minimax, shingle_join
-from plainword.llm.common import load, shared_dir
+from plainword.llm.common import load, shared_dir, tidy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    tidy(spark)
     return quality_model.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
@@ -19,21 +20,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates (similarity of five-word shingles at least 0.8) stays: the one with the smallest id.
 
     Close SimHash pairs from the vantage-point tree first, then an exact prefix filter for what 64 bits can't reach; every link is an exact Jaccard comparison."""
+    tidy(spark)
     return shingle_join.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    tidy(spark)
     return decontam.without_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as the mix takes it: not at all, once or twice."""
+    tidy(spark)
     return mixing.mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of each document."""
+    tidy(spark)
     return shard_minimax.minimax_shards(docs)
 
 

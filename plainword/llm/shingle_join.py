@@ -208,6 +208,7 @@ def similar_links(found: DataFrame, text_col: str = "text", bits: int = BITS) ->
 
     def mixed(links: DataFrame) -> DataFrame:
         """Prefix places with the root of their node, where a shingle has several roots."""
+        tidy(spark)
         roots = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
         rooted = shared.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
@@ -219,7 +220,6 @@ def similar_links(found: DataFrame, text_col: str = "text", bits: int = BITS) ->
     star = rest.join(stars, "key").select("node", F.explode(F.array(*(F.when(F.col("root") != F.col(f"root{k}"), F.col(f"node{k}")) for k in range(STARS)))).alias("star"))
     more = _allowed(_pairs(star, "node", "star").distinct().join(tried, ["nodea", "nodeb"], "left_anti"), sizes)
     links, tried = links.union(_links(more, texts)), tried.union(more)
-    tidy(spark)
     rest = mixed(links).join(sizes.drop("n"), "node")
     # At the first shingle that two sets share, what they can share at most is known from its places.
     n, most = F.col("na") + F.col("nb"), F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
@@ -231,7 +231,9 @@ def similar_links(found: DataFrame, text_col: str = "text", bits: int = BITS) ->
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The rows as ``prints`` gives them, and one row per distinct set: node, least (its smallest id), root, component_id."""
     found = saved(prints(df, text_col), "shingle-prints")
-    links = components(similar_links(found, text_col))
+    links = similar_links(found, text_col)
+    tidy(df.sparkSession)
+    links = components(links)
     nodes = found.groupBy("node").agg(F.min(found["row"][id_col]).alias("least"))
     rooted = saved(nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "shingle-nodes")
     return found, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "least", "root", "component_id")
