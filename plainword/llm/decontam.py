@@ -265,7 +265,8 @@ def latent_basis(rows: DataFrame, n: int, items: list[str], idf: np.ndarray, rou
     heavy = _matrix(own, idf, float(np.sqrt(4 * max(1, n) / max(1, len(own))))) if own else None
     x = _orthonormal(np.random.default_rng(SEED).standard_normal((TERMS, width), np.float32))
     sc, schema = rows.sparkSession.sparkContext, "term long, part binary"
-    passages = rows.filter(F.col("passages").isNotNull()).select("passages")
+    # Each task's sums have a row for nearly every term, however little it reads: tasks follow the passages, not the files.
+    passages = rows.filter(F.col("passages").isNotNull()).select("passages").coalesce(max(sc.defaultParallelism, n // SOME))
     for _ in range(rounds):
         shared = sc.broadcast((x, idf))
 
