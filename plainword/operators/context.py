@@ -1,4 +1,4 @@
-"""Contexts of tokens: neighbours, n-grams, and the features that training counts. Tokens come as (ids, pos, tok)."""
+"""Contexts of tokens: neighbours, n-grams, and the features that training counts. Tokens come as (ids, pos, tok), or whole texts as (ids, tokens)."""
 
 from __future__ import annotations
 
@@ -8,11 +8,32 @@ from pyspark.sql import functions as F
 from ..session import saved
 
 
+def _offsets(width: int) -> list[int]:
+    return [k for k in range(-width, width + 1) if k]
+
+
+def shifted(df: DataFrame, ids: list[str], others: Column, shifts: list[tuple[int, int]], out: str) -> DataFrame:
+    """ids, pos, tok, off, ``out``: each of ``tokens`` beside what stands ``shift`` places from it in ``others``, for each (off, shift).
+
+    Arrays are laid side by side within a row: texts are dealt out once, and no token is. Texts that share their ids meet each other; null ids meet nothing."""
+    own = df.select(*ids, F.struct(F.col("tokens").alias("t"), others.alias("o")).alias("__s")).dropna(subset=ids).groupBy(*ids).agg(F.collect_list("__s").alias("__s"))
+    pairs = own.select(*ids, "__s", F.explode("__s.t").alias("__t")).select(*ids, "__t", F.explode("__s.o").alias("__o"))
+    each = F.explode(F.array(*(F.struct(F.lit(off).alias("off"), F.lit(k).alias("k")) for off, k in shifts)))
+    first = F.greatest(F.lit(0), -F.col("__k.k"))
+    n = F.greatest(F.least(F.size("__t"), F.size("__o") - F.col("__k.k")) - first, F.lit(0))
+    laid = pairs.select(*ids, "__t", "__o", each.alias("__k")).select(*ids, F.col("__k.off").alias("off"), first.alias("__f"), F.slice("__t", first + 1, n).alias("tok"), F.slice("__o", first + F.col("__k.k") + 1, n).alias(out))
+    met = laid.select(*ids, "off", "__f", F.posexplode(F.arrays_zip("tok", out)).alias("__p", "__z"))
+    return met.select(*ids, (F.col("__f") + F.col("__p")).alias("pos"), F.col("__z.tok").alias("tok"), "off", F.col(f"__z.{out}").alias(out))
+
+
 def indexed_context(tokens: DataFrame, ids: list[str], width: int) -> DataFrame:
-    """ids, pos, tok, off, other: each neighbour within ``width``. An equi-join: every token is sent to the places it neighbours."""
+    """ids, pos, tok, off, other: each neighbour within ``width``. From flat tokens by an equi-join: every token is sent to the places it neighbours."""
+    if "tokens" in tokens.columns:
+        return shifted(tokens, ids, F.col("tokens"), [(k, k) for k in _offsets(width)], "other")
     offsets = F.filter(F.sequence(F.lit(-width), F.lit(width)), lambda x: x != 0)
     sent = tokens.select(*ids, F.col("tok").alias("other"), F.col("pos").alias("__at"), F.explode(offsets).alias("off")).select(*ids, "other", "off", (F.col("__at") - F.col("off")).alias("pos"))
-    return tokens.join(sent, [*ids, "pos"]).select(*ids, "pos", "tok", "off", "other")
+    # Spark takes exploded rows for as many bytes as the texts, and would broadcast them.
+    return tokens.join(sent.hint("merge"), [*ids, "pos"]).select(*ids, "pos", "tok", "off", "other")
 
 
 def ngram_table(df: DataFrame, ids: list[str], n: int, tokens: str = "tokens") -> DataFrame:

@@ -332,7 +332,7 @@ _NEAR = "SELECT a.conv_id, a.turn, a.pos, a.tok, (b.pos - a.pos)::INTEGER AS off
 
 @query(BASE + _NEAR.format(2))
 def indexed_context(spark, sf):
-    return context.indexed_context(_flat(spark, sf), CONV, 2)
+    return context.indexed_context(conversations(spark, sf), CONV, 2)
 
 
 _GRAMS = "grams AS (SELECT conv_id, turn, p::INTEGER AS start, array_to_string(tokens[p + 1:p + 2], ' ') AS gram FROM (SELECT *, unnest(range(len(tokens) - 1)) AS p FROM conv))"
