@@ -92,6 +92,11 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: F.slice(tokens, i + 1, n))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def joined_ngrams(tokens: Column, n: int) -> Column:
+    """``ngrams``, each as one string."""
+    return F.transform(ngrams(tokens, n), join_tokens)
+
+
 def context_left(tokens: Column, width: int, i: Column) -> Column:
     first = F.greatest(i - width, F.lit(0))
     return F.slice(tokens, first + 1, i - first)

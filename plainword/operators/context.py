@@ -43,12 +43,14 @@ def ngram_table(df: DataFrame, ids: list[str], n: int, tokens: str = "tokens") -
     return df.select(*ids, F.posexplode(ngrams(F.col(tokens), n)).alias("start", "gram"))
 
 
-def ngram_context(tokens: DataFrame, grams: DataFrame, ids: list[str], n: int, width: int) -> DataFrame:
-    """ids, pos, tok, off, gram: n-grams that end ``-off`` places before a token or begin ``off`` after it, up to ``width``."""
+def ngram_context(tokens: DataFrame, grams: DataFrame | Column, ids: list[str], n: int, width: int) -> DataFrame:
+    """ids, pos, tok, off, gram: n-grams that end ``-off`` places before a token or begin ``off`` after it, up to ``width``. Of whole texts, ``grams`` is the array of a text's."""
+    if "tokens" in tokens.columns:
+        return shifted(tokens, ids, grams, [(k, k if k > 0 else k - (n - 1)) for k in _offsets(width)], "gram")
     offsets = F.filter(F.sequence(F.lit(-width), F.lit(width)), lambda x: x != 0)
     to = F.when(F.col("off") < 0, F.col("start") + n - 1 - F.col("off")).otherwise(F.col("start") - F.col("off"))
     sent = grams.select(*ids, "gram", "start", F.explode(offsets).alias("off")).select(*ids, "gram", "off", to.alias("pos"))
-    return tokens.join(sent, [*ids, "pos"]).select(*ids, "pos", "tok", "off", "gram")
+    return tokens.join(sent.hint("merge"), [*ids, "pos"]).select(*ids, "pos", "tok", "off", "gram")
 
 
 def context_counts(df: DataFrame, ids: list[str], universe: DataFrame, dictionary: DataFrame, n: int = 2, width: int = 3, tokens: str = "tokens") -> DataFrame:

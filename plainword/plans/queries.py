@@ -350,7 +350,7 @@ def ngrams(spark, sf):
 @query(BASE + ", " + _GRAMS + """SELECT conv_id, turn, pos, tok, off::INTEGER AS off, gram FROM flat JOIN grams USING (conv_id, turn), (SELECT unnest([-2, -1, 1, 2]) AS off)
 WHERE CASE WHEN off < 0 THEN start = pos - 1 + off ELSE start = pos + off END""")
 def ngram_context(spark, sf):
-    return context.ngram_context(_flat(spark, sf), _grams(spark, sf), CONV, 2, 2).withColumn("gram", S.join_tokens(F.col("gram")))
+    return context.ngram_context(conversations(spark, sf), S.joined_ngrams(F.col("tokens"), 2), CONV, 2, 2)
 
 
 _UNIVERSE = _CUT + """, pairs AS (SELECT DISTINCT query, cand FROM cut), universe AS (SELECT query AS word FROM pairs UNION SELECT cand FROM pairs),

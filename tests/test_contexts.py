@@ -29,3 +29,14 @@ def test_neighbours_without_a_join(texts):
         assert "Join" not in plan(got)
         assert rows(got) == rows(context.indexed_context(flat, ["x", "y"], width))
     assert "BroadcastExchange" not in plan(context.indexed_context(flat, ["x", "y"], 2))
+
+
+def test_ngrams_without_a_join(texts):
+    from plainword.functions.strings import join_tokens, joined_ngrams
+
+    flat = texts.select("x", "y", F.posexplode("tokens").alias("pos", "tok"))
+    for n, width in ((1, 1), (2, 2), (3, 4)):
+        grams = context.ngram_table(texts, ["x", "y"], n).withColumn("gram", join_tokens(F.col("gram")))
+        got = context.ngram_context(texts, joined_ngrams(F.col("tokens"), n), ["x", "y"], n, width)
+        assert "Join" not in plan(got)
+        assert rows(got) == rows(context.ngram_context(flat, grams, ["x", "y"], n, width)), (n, width)
