@@ -549,7 +549,7 @@ _CFLAT = BASE + ", pos AS (SELECT a.conv_id, a.turn, a.pos, b.tok AS gov, a.tok
 
 
 def _positives(spark, sf) -> DataFrame:
-    return context.positive_features(_flat(spark, sf), CONV, dictionary(spark, sf))
+    return context.positive_features(conversations(spark, sf), CONV, dictionary(spark, sf))
 
 
 @query(_CFLAT + "SELECT * FROM pos")
@@ -678,7 +678,7 @@ def _models(spark, sf) -> normalise.Models:
     lm = langmodel.Model(*(saved(t, "lm") for t in vars(langmodel.train(documents(spark, sf))).values()))
     c = Config(lksm_num_candidates=3, nmd_min_freq=RARE)
     phonetic = saved(candidates.phonetic_dictionary(d), "phonetic")
-    p = context.positive_features(_flat(spark, sf), CONV, d)
+    p = context.positive_features(conversations(spark, sf), CONV, d)
     bank = _bank(p)
     known = p.join(d.select(F.col("word").alias("dep")), "dep", "left_semi")
     pairs = candidates.confusion_set(d, d, phonetic, c.lex_dist, c.phon_dist).filter("query <> cand").select("query", "cand").distinct()

@@ -40,3 +40,29 @@ def test_ngrams_without_a_join(texts):
         got = context.ngram_context(texts, joined_ngrams(F.col("tokens"), n), ["x", "y"], n, width)
         assert "Join" not in plan(got)
         assert rows(got) == rows(context.ngram_context(flat, grams, ["x", "y"], n, width)), (n, width)
+
+
+def test_features_deal_out_no_token(texts, spark, tmp_path):
+    """positive_features and what builds on it (negative_features, libsvm_encode) look words up, but join no exploded table with another."""
+    flat = texts.select("x", "y", F.posexplode("tokens").alias("pos", "tok"))
+    known = spark.createDataFrame([(w,) for w in "abdxn"], "word string")
+    got = context.positive_features(texts, ["x", "y"], known)
+    assert rows(got) == rows(context.positive_features(flat, ["x", "y"], known))
+
+
+@pytest.mark.parametrize("name", ["positive_features"])
+def test_no_exploded_table_is_broadcast(spark, name):
+    from plainword.plans import queries
+
+    text = plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    #: Tokens of the conversations may stand below a join's streamed side only: under no broadcast are they exploded twice.
+    for part in text.split("BroadcastExchange")[1:]:
+        below = part.split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        own = [x for x in below[1:] if x.strip()]
+        inside = []
+        for x in own:
+            if inside and depth(x) < depth(inside[0]):
+                break
+            inside.append(x)
+        assert not any("posexplode(tokens" in x for x in inside), name
