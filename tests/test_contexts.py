@@ -50,7 +50,7 @@ def test_features_deal_out_no_token(texts, spark, tmp_path):
     assert rows(got) == rows(context.positive_features(flat, ["x", "y"], known))
 
 
-@pytest.mark.parametrize("name", ["positive_features"])
+@pytest.mark.parametrize("name", ["positive_features", "negative_features"])
 def test_no_exploded_table_is_broadcast(spark, name):
     from plainword.plans import queries
 
