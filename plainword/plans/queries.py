@@ -574,8 +574,9 @@ def features_legit(spark, sf):
 @query(_CFLAT + ", i AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT gov AS word FROM pos UNION SELECT dep FROM pos)) SELECT conv_id, turn, pos, off, '1 1:0.5 ' || least(a.id, b.id) || ':1 ' || greatest(a.id, b.id) || ':1' AS line FROM pos JOIN i a ON a.word = gov JOIN i b ON b.word = dep")
 def libsvm_encode(spark, sf):
     p = _positives(spark, sf)
-    ids = lexicon.unique_ids(p.select(F.col("gov").alias("word")).union(p.select("dep")), "word", 1)
-    met = p.join(ids.select(F.col("word").alias("gov"), F.col("id").alias("g")), "gov").join(ids.select(F.col("word").alias("dep"), F.col("id").alias("d")), "dep")
+    ids = saved(lexicon.unique_ids(p.select(F.col("gov").alias("word")).union(p.select("dep")), "word", 1), "word-ids")
+    # All words have an id. A left join can't broadcast the contexts, which Spark takes for as small as the texts.
+    met = p.join(ids.select(F.col("word").alias("gov"), F.col("id").alias("g")), "gov", "left").join(ids.select(F.col("word").alias("dep"), F.col("id").alias("d")), "dep", "left")
     return met.select(*CONV, "pos", "off", context.libsvm_line(F.lit(True), [F.col("g"), F.col("d")], F.lit(0.5)).alias("line"))
 
 
