@@ -490,7 +490,7 @@ _CPAD = "cp AS (SELECT ['<s>', '<s>'] || tokens || ['</s>'] AS t FROM conv WHERE
 @query(_TRI + ", " + _CPAD + f"SELECT a, b, c, round(logp, 6) AS logp FROM {_SCORE}")
 def kn_score(spark, sf):
     grams = langmodel.trigram_counts(conversations(spark, sf)).select("a", "b", "c")
-    return langmodel.score(grams, _model(spark, sf)).withColumn("logp", F.round("logp", 6))
+    return langmodel.score_under(documents(spark, sf), grams).withColumn("logp", F.round("logp", 6))
 
 
 @query()
