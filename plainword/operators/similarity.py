@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import dropped, saved
 
 #: measure: (value of a feature, what a word sums over its features, what a pair sums over shared features, result of the sums a, b and s).
 MEASURES = {
@@ -31,6 +31,20 @@ MEASURES = {
 }
 
 
+#: Pairs meet in so many rounds, by candidate. All of them meet, and each value is dealt out in the round of its word alone; on disk is one round's share at a time.
+PARTS = 8
+
+
+def _saved_values(counts: DataFrame, value: str) -> DataFrame:
+    """``valued``, with one copy in the shared folder: of the counts where values are cheap to make from them, else of the values."""
+    kept = saved(counts, "context-counts")
+    if value != "mi":
+        return valued(kept, value)
+    values = saved(valued(kept, value), "context-values")
+    dropped(kept)
+    return values
+
+
 def valued(counts: DataFrame, value: str) -> DataFrame:
     """word, off, gram, x: counts, probabilities within the word, or mutual information."""
     if value == "cnt":
@@ -48,11 +62,15 @@ def valued(counts: DataFrame, value: str) -> DataFrame:
 def similarity(pairs: DataFrame, counts: DataFrame, measure: str = "lin") -> DataFrame:
     """query, cand, score, for pairs (query, cand) that share a feature."""
     value, own, both, combine = MEASURES[measure]
-    v = saved(valued(saved(counts, "context-counts"), value), "context-values")
+    v = _saved_values(counts, value)
     norms = v.groupBy("word").agg(F.sum(own(F.col("x"))).alias("norm"))
-    a = pairs.select("query", "cand").distinct().join(v.select(F.col("word").alias("query"), "off", "gram", F.col("x").alias("x")), "query")
-    met = a.join(v.select(F.col("word").alias("cand"), "off", "gram", F.col("x").alias("y")), ["cand", "off", "gram"])
-    sums = met.groupBy("query", "cand").agg(F.sum(both(F.col("x"), F.col("y"))).alias("s"))
+    own, sums = pairs.select("query", "cand").distinct(), None
+    for k in range(PARTS):
+        here = F.pmod(F.xxhash64("cand"), F.lit(PARTS)) == k
+        a = own.filter(here).join(v.select(F.col("word").alias("query"), "off", "gram", F.col("x").alias("x")), "query")
+        met = a.join(v.select(F.col("word").alias("cand"), "off", "gram", F.col("x").alias("y")).filter(here), ["cand", "off", "gram"])
+        part = saved(met.groupBy("query", "cand").agg(F.sum(both(F.col("x"), F.col("y"))).alias("s")), "similarity-sums")
+        sums = part if sums is None else sums.unionByName(part)
     with_a = sums.join(norms.select(F.col("word").alias("query"), F.col("norm").alias("a")), "query")
     with_b = with_a.join(norms.select(F.col("word").alias("cand"), F.col("norm").alias("b")), "cand")
     score: Column = combine(F.col("a"), F.col("b"), F.col("s"))
