@@ -6,10 +6,11 @@ import re
 import tempfile
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import tidy, trim  # noqa: F401
+
 #: A word is a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,27 +41,6 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets the driver forget finished plans, so that Spark deletes their shuffle files, and gives the memory that it has freed back to the system."""
-    spark.sparkContext._jvm.System.gc()
-    trim(spark)
-
-
-def trim(spark: SparkSession) -> bool:
-    """Gives native memory that the driver's JVM has freed back to the system; whether it could. Compiling the code of many plans leaves hundreds of MB
-    in the C library's arenas, outside the heap, and no garbage collection returns them. ``System.trim_native_heap`` of the JVM does (Linux, from JDK 17.0.9 on)."""
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    args = gateway.new_array(jvm.Object, 4)  # name, operation, its arguments, their types
-    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
-    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
-    invoke = next(m for m in jvm.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
-    try:
-        invoke.invoke(server, args)  # the server's own class is not open to calls
-    except Py4JJavaError:
-        return False
-    return True
-
-
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut, and a lost executor costs a reread only."""
     spark = df.sparkSession

@@ -59,7 +59,8 @@ def find_within(queries: DataFrame, lexicon: DataFrame, d: int, word: str = "wor
     keys = ["__n", "__i", "__s"]
     q, c = (x.select(x.columns[0], *(F.col(f"__k.{k[2:]}").alias(k) for k in keys)) for x in (q, c))
     dist = F.levenshtein(F.col("query"), F.col("cand"), d)
-    return q.join(c, keys).select("query", "cand", dist.alias("dist")).filter("dist >= 0").distinct()
+    # Spark takes exploded keys for as few bytes as the words, and would broadcast them.
+    return q.join(c.hint("merge"), keys).select("query", "cand", dist.alias("dist")).filter("dist >= 0").distinct()
 
 
 #: Distances up to which nearest words are sought by segments; queries still short of words then meet every word.
@@ -117,7 +118,7 @@ def confusion_set(queries: DataFrame, lexicon: DataFrame, phonetic: DataFrame |
 
 def cut(candidates: DataFrame, freqs: DataFrame, percent: int = 30) -> DataFrame:
     """The first ``percent`` (rounded down) of each query's candidates by corpus frequency; unknown words have 0."""
-    known = candidates.join(freqs.select(F.col("word").alias("cand"), "freq"), "cand", "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("long")))
+    known = candidates.join(freqs.select(F.col("word").alias("cand"), "freq").hint("merge"), "cand", "left").withColumn("freq", F.coalesce("freq", F.lit(0).cast("long")))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("freq").desc(), "source", "cand"))
     n = F.count(F.lit(1)).over(Window.partitionBy("query"))
     return known.withColumn("rank", rank).withColumn("__n", n).filter(F.expr(f"rank <= __n * {percent} div 100")).select("query", "cand", "source", "freq", "rank")

@@ -34,7 +34,7 @@ def stratify(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def frequent_oov(counts: DataFrame, dictionary: DataFrame, min_freq: int = 10, min_length: int = 4) -> DataFrame:
-    return counts.filter((F.col("freq") >= min_freq) & (F.length("word") >= min_length)).join(dictionary, "word", "left_anti")
+    return counts.filter((F.col("freq") >= min_freq) & (F.length("word") >= min_length)).join(dictionary.hint("merge"), "word", "left_anti")  # saved words take some twenty times their bytes when broadcast
 
 
 def merge(*lexicons: DataFrame, data=None) -> DataFrame:

@@ -66,3 +66,15 @@ def test_no_exploded_table_is_broadcast(spark, name):
                 break
             inside.append(x)
         assert not any("posexplode(" in x for x in inside), name
+
+
+def test_candidates_are_never_broadcast(spark):
+    """The keys that words are sought by were broadcast: 88 MB over 0.1 GB of texts."""
+    from plainword.operators import candidates, lexicon
+
+    counts = spark.createDataFrame([("means", 20), ("beans", 10), ("beats", 15), ("meanies", 9)], "word string, freq long")
+    found = candidates.find_within(counts, counts, 1)
+    assert ("means", "beans", 1) in {tuple(r) for r in found.collect()}
+    known = counts.select("word").filter("freq > 10")
+    for df in (found, candidates.cut(found.withColumn("source", F.lit(1)), counts), lexicon.frequent_oov(counts, known)):
+        assert "Broadcast" not in plan(df)
