@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..functions.tweet_tokens import tweet_tokens
-from ..operators import candidates, classifier, clean, context, langmodel, lexicon, normalise, ranking, similarity
+from ..operators import candidates, classifier, clean, context, langmodel, lexicon, nearness, normalise, ranking, similarity
 from ..session import saved
 from ..sources import readers
 from . import jobs
@@ -408,14 +408,16 @@ def _similarity_sql(measure: str) -> str:
     """
 
 
+def _near(spark, sf, measure: str) -> DataFrame:
+    counts = _saved_counts(spark, sf)
+    return nearness.similarity_in(documents(spark, sf), ["doc_id"], _pairs(spark, sf, counts), _known(counts, COMMON), measure)
+
+
 def _register_similarities() -> None:
     for name in similarity.MEASURES:
 
         def run(spark, sf, name=name):
-            counts = _saved_counts(spark, sf)
-            pairs = _pairs(spark, sf, counts)
-            scored = similarity.similarity(pairs, _counted(spark, sf, pairs, counts), name)
-            return scored.select("query", "cand", (F.round("score", 6) + 0.0).alias("score"))
+            return _near(spark, sf, name).select("query", "cand", (F.round("score", 6) + 0.0).alias("score"))
 
         run.__name__ = f"similarity_{name}"
         query(_similarity_sql(name) + "SELECT query, cand, round(score, 6) + 0.0 AS score FROM sim WHERE score IS NOT NULL AND NOT isnan(score)")(run)
@@ -426,9 +428,7 @@ _register_similarities()
 
 @query(_similarity_sql("lin") + "SELECT query, (max({'s': round(score, 9), 'c': cand})).c AS cand FROM sim WHERE NOT isnan(score) GROUP BY query")
 def best_pair(spark, sf):
-    counts = _saved_counts(spark, sf)
-    pairs = _pairs(spark, sf, counts)
-    scored = similarity.similarity(pairs, _counted(spark, sf, pairs, counts), "lin").withColumn("score", F.round("score", 9))
+    scored = _near(spark, sf, "lin").withColumn("score", F.round("score", 9))
     return similarity.best_pair(scored).select("query", "cand")
 
 
