@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import dropped
 from .common import saved, tidy
 from .components import components
 from .simhash_vp import BITS, close_links, simhash
@@ -156,7 +157,7 @@ def _sided(df: DataFrame, end: str, *kept: str) -> DataFrame:
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v) of the pairs (nodea, nodeb) that are similar. texts: node, text; they are fetched for the nodes of the pairs. Texts travel, not sets: they are smaller."""
-    asked = saved(pairs.select(F.col("nodea").alias("node")).union(pairs.select("nodeb")).distinct(), "shingle-asked")
+    own_asked = asked = saved(pairs.select(F.col("nodea").alias("node")).union(pairs.select("nodeb")).distinct(), "shingle-asked")
     if asked.count() <= FEW:
         asked = F.broadcast(asked)  # at most FEW numbers; else texts are dealt out
 
@@ -176,7 +177,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     own = saved(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "shingle-texts")
     met = pairs.join(_sided(own, "a"), "nodea").join(_sided(own, "b"), "nodeb")
-    return saved(met.select("nodea", "nodeb", "texta", "textb").mapInArrow(compare, "u long, v long"), "shingle-links")
+    links = saved(met.select("nodea", "nodeb", "texta", "textb").mapInArrow(compare, "u long, v long"), "shingle-links")
+    for x in (own, own_asked):
+        dropped(x)
+    return links
 
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -209,10 +213,13 @@ def similar_links(found: DataFrame, text_col: str = "text", bits: int = BITS) ->
     def mixed(links: DataFrame) -> DataFrame:
         """Prefix places with the root of their node, where a shingle has several roots."""
         tidy(spark)
-        roots = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        edges = components(links)
+        roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         rooted = shared.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        return saved(rooted.join(several, "key", "left_semi"), "shingle-mixed")
+        out = saved(rooted.join(several, "key", "left_semi"), "shingle-mixed")
+        dropped(edges)
+        return out
 
     rest = mixed(links)
     order = [F.xxhash64("node", F.lit(k)) for k in range(STARS)]
@@ -220,12 +227,20 @@ def similar_links(found: DataFrame, text_col: str = "text", bits: int = BITS) ->
     star = rest.join(stars, "key").select("node", F.explode(F.array(*(F.when(F.col("root") != F.col(f"root{k}"), F.col(f"node{k}")) for k in range(STARS)))).alias("star"))
     more = _allowed(_pairs(star, "node", "star").distinct().join(tried, ["nodea", "nodeb"], "left_anti"), sizes)
     links, tried = links.union(_links(more, texts)), tried.union(more)
-    rest = mixed(links).join(sizes.drop("n"), "node")
+    dropped(rest)
+    several = mixed(links)
+    rest = several.join(sizes.drop("n"), "node")
     # At the first shingle that two sets share, what they can share at most is known from its places.
     n, most = F.col("na") + F.col("nb"), F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
     can = (F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & ((SHARE + OF) * most >= SHARE * n) & _may("a", "b")
     last = _sided(rest, "a", "key").join(_sided(rest, "b", "key"), "key").filter(can).select("nodea", "nodeb").distinct()
-    return links.union(_links(saved(last.join(tried, ["nodea", "nodeb"], "left_anti"), "shingle-pairs"), texts))
+    left = saved(last.join(tried, ["nodea", "nodeb"], "left_anti"), "shingle-pairs")
+    for x in (several, tried, shared, heads):
+        dropped(x)
+    links = links.union(_links(left, texts))
+    for x in (left, nodes):
+        dropped(x)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -233,9 +248,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = saved(prints(df, text_col), "shingle-prints")
     links = similar_links(found, text_col)
     tidy(df.sparkSession)
-    links = components(links)
+    links, linked = components(links), links
+    dropped(linked)
     nodes = found.groupBy("node").agg(F.min(found["row"][id_col]).alias("least"))
     rooted = saved(nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "shingle-nodes")
+    dropped(links)
     return found, rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "least", "root", "component_id")
 
 
@@ -248,6 +265,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # Rows of a head, mostly one: only where there are more are rows dealt out to choose.
     count = own.groupBy("node", "own").agg(F.count(F.lit(1)).alias("rows"))
     heads = saved(heads.join(count, "node").filter(F.col("own").eqNullSafe(F.col("id"))).select(F.col("node").alias("head"), "id", "rows"), "shingle-heads")
+    dropped(near)
     tidy(df.sparkSession)
     kept = own.join(heads, (F.col("node") == F.col("head")) & F.col("own").eqNullSafe(F.col("id")))
     return kept.filter("rows = 1").select("row.*").unionByName(kept.filter("rows > 1").dropDuplicates(["node"]).select("row.*"))
