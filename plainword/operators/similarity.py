@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..session import dropped, saved
 
-#: measure: (value of a feature, what a word sums over its features, what a pair sums over shared features, result of the sums a, b and s).
+#: measure: (value of a feature, what a word sums over its features (of a column or an array), what a pair sums over shared features, result of the sums a, b and s).
 MEASURES = {
     "cosine": ("cnt", lambda x: x * x, lambda x, y: x * y, lambda a, b, s: s / F.sqrt(a * b)),
-    "dice": ("cnt", lambda x: F.lit(1.0), lambda x, y: F.lit(1.0), lambda a, b, s: 2 * s / (a + b)),
-    "jaccard": ("cnt", lambda x: F.lit(1.0), lambda x, y: F.lit(1.0), lambda a, b, s: s / (a + b - s)),
-    "overlap": ("cnt", lambda x: F.lit(1.0), lambda x, y: F.lit(1.0), lambda a, b, s: s / F.least(a, b)),
+    "dice": ("cnt", lambda x: x**0, lambda x, y: F.lit(1.0), lambda a, b, s: 2 * s / (a + b)),
+    "jaccard": ("cnt", lambda x: x**0, lambda x, y: F.lit(1.0), lambda a, b, s: s / (a + b - s)),
+    "overlap": ("cnt", lambda x: x**0, lambda x, y: F.lit(1.0), lambda a, b, s: s / F.least(a, b)),
     "tanimoto": ("cnt", lambda x: x * x, lambda x, y: x * y, lambda a, b, s: s / (a + b - s)),
     "cosine_mi": ("mi", lambda x: x * x, lambda x, y: x * y, lambda a, b, s: s / F.sqrt(a * b)),
     "dice_mi": ("mi", lambda x: x, lambda x, y: F.least(x, y), lambda a, b, s: 2 * s / (a + b)),
